@@ -127,17 +127,18 @@ def ladder_predictions(runs: list[Run]) -> DataFrame:
 def coefficient_table(df: DataFrame, label: str, factor: str, reference: str, *, max_levels: int = 1000) -> DataFrame:
     """Odds ratios of one categorical predictor against a reference level.
 
-    Rows are counted by level and label first, so the weighted fit reads a few
-    rows whatever the table size.
+    Rows are reduced to one event rate and weight per level first, so the fit
+    reads a few rows whatever the table size.
     """
     counts = cut(
         df.filter(F.col(label).isNotNull() & F.col(factor).isNotNull())
-        .groupBy(F.col(factor).cast("string").alias("level"), F.col(label).cast("double").alias("label"))
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .groupBy(F.col(factor).cast("string").alias("level"))
+        .agg(F.avg(F.col(label).cast("double")).alias("label"),
+             F.count(F.lit(1)).cast("double").alias("weight"))
     )
-    if counts.count() > 2 * max_levels:
+    if counts.count() > max_levels:
         raise ValueError(f"more than {max_levels} levels in {factor}")
-    levels = sorted(r["level"] for r in counts.select("level").distinct().collect())
+    levels = sorted(r["level"] for r in counts.select("level").collect())
     if reference not in levels:
         raise ValueError(f"reference level {reference} does not occur in {factor}")
     others = [x for x in levels if x != reference]
