@@ -46,9 +46,10 @@ def share(flag: Column) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 on the wall clock, free of the session zone."""
     days = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    minutes = (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
-    seconds = F.extract(F.lit("SECOND"), ts)
-    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+    seconds = ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60 + F.second(ts)
+    # zone offsets are whole seconds, so the part below a second needs no care
+    part = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
+    return seconds * 1_000_000 + part
 
 
 def minutes(ts: Column) -> Column:

@@ -40,7 +40,7 @@ SEQ_COLUMNS = ["subject_id", "op_id", "operation_number", "total_operations",
 
 @register("seq_operations", SEQ_SQL)
 def seq_operations(spark, sf):
-    return sequenced(spark, sf).select(SEQ_COLUMNS).orderBy("subject_id", "operation_number")
+    return sequenced(spark, sf).select(SEQ_COLUMNS)
 
 
 @register("seq_operations_balanced", SEQ_SQL)
@@ -151,7 +151,8 @@ def interval_categories(spark, sf):
 @register("first_op_cohort", f"""WITH {FIRST} SELECT subject_id, op_id, asa, status, price,
   total_operations, total_operations > 1 AS multiple_operations FROM first_ops WHERE asa < 5""")
 def first_op_cohort(spark, sf):
-    return first_operations(spark, sf).filter(F.col("asa") < 5).drop("start_time", "end_time")
+    first = first_operations(spark, sf, "asa", "status", "price")
+    return first.filter(F.col("asa") < 5).drop("start_time")
 
 
 def flagged_cohort(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.scalar import minutes
 from cohortspark.operators.lookups import latest_wide, lookback
 from cohortspark.operators.sequence import first_events
+from cohortspark.session import cut
 from cohortspark.sources.tables import table
 
 ITEMS = ["af", "ao", "nf", "no", "rf", "ro"]
@@ -66,8 +67,10 @@ def operations(spark: SparkSession, sf: str) -> DataFrame:
         start.alias("start_time"), start.alias("end_time"))
 
 
-def first_operations(spark: SparkSession, sf: str) -> DataFrame:
-    return first_events(operations(spark, sf), "subject_id", "start_time", "op_id")
+def first_operations(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """First operation per subject; naming columns keeps the scan narrow."""
+    needed = dict.fromkeys(["subject_id", "op_id", "start_time", *columns])
+    return first_events(operations(spark, sf).select(*needed), "subject_id", "start_time", "op_id")
 
 
 def labs(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,18 +86,24 @@ def lab_rows(spark: SparkSession, sf: str) -> int:
     return table(spark, sf, "lineitem").count()
 
 
-def preop_rows(spark: SparkSession, sf: str) -> DataFrame:
+def preop_rows(spark: SparkSession, sf: str, cohort: DataFrame | None = None) -> DataFrame:
     """Measurements in the 180 days up to each first operation."""
-    cohort = first_operations(spark, sf).select("subject_id", "op_id", "start_time")
-    return lookback(cohort, labs(spark, sf), "subject_id", anchor="start_time", time="chart_time",
-                    item="item_name", items=ITEMS, row_bound=lab_rows(spark, sf))
+    cohort = first_operations(spark, sf) if cohort is None else cohort
+    return lookback(
+        cohort.select("subject_id", "op_id", "start_time"), labs(spark, sf), "subject_id",
+        anchor="start_time", time="chart_time", item="item_name", items=ITEMS,
+        row_bound=lab_rows(spark, sf))
 
 
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
-    """First operations with the latest earlier value per item, one row each."""
-    wide = latest_wide(preop_rows(spark, sf), ["subject_id", "op_id"], item="item_name",
+    """First operations with the latest earlier value per item, one row each.
+
+    The cohort is used twice, so it is written once.
+    """
+    cohort = cut(first_operations(spark, sf, "price", "status", "asa"))
+    wide = latest_wide(preop_rows(spark, sf, cohort), ["subject_id", "op_id"], item="item_name",
                        time="chart_time", value="value", items=ITEMS)
-    base = first_operations(spark, sf).select("subject_id", "op_id", "price", "status", "asa")
+    base = cohort.select("subject_id", "op_id", "price", "status", "asa")
     return base.join(wide, ["subject_id", "op_id"], "left")
 
 

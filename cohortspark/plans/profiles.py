@@ -13,6 +13,7 @@ from cohortspark.operators.skew import SkewPolicy
 from cohortspark.plans.cohort import GAPS, gaps, order_rows
 from cohortspark.plans.inputs import MODEL, MODEL_LONG, WIDE, event_rows, model_table
 from cohortspark.plans.registry import register, rounded
+from cohortspark.session import cut
 from cohortspark.sources.tables import table
 
 SMALL_TASKS = SkewPolicy(task_rows=200, hot_keys=1_000_000, pieces=8, accuracy=1000)
@@ -77,7 +78,7 @@ SELECT substring(q.variable, 7) AS variable, n, ROUND(mean, 6) AS mean, ROUND(sd
   COALESCE(n_outliers, 0) AS n_outliers, ROUND(COALESCE(n_outliers, 0) * 100.0 / NULLIF(n, 0), 6) AS pct_outliers
 FROM q LEFT JOIN o ON q.variable = o.variable""")
 def lab_summary(spark, sf):
-    out = profile.lab_summary(model_table(spark, sf), WIDE, row_bound=order_rows(spark, sf))
+    out = profile.lab_summary(cut(model_table(spark, sf)), WIDE, row_bound=order_rows(spark, sf))
     return rounded(out, 6, "mean", "sd", "pct_missing", "q25", "median", "q75", "pct_outliers")
 
 
