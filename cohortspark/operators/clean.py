@@ -50,8 +50,8 @@ def flag_and_null(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> Data
 
 
 def cast_present(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast the named columns that exist, leave the rest alone."""
-    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+    """Cast the named columns that exist; text that is no number becomes NULL."""
+    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
 
 
 def yes_no(df: DataFrame, outcome: str) -> DataFrame:

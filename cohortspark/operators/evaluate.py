@@ -39,7 +39,7 @@ def score_curve(df: DataFrame, groups: list[str], label: str, score: str, *,
 def ranking_measures(df: DataFrame, groups: list[str], label: str, score: str, *,
                      start: str = "one", event_level: str = "second",
                      row_bound: int | None = None, policy: SkewPolicy = POLICY) -> DataFrame:
-    """ROC AUC and PR AUC per group from one curve.
+    """ROC AUC, PR AUC and Brier score per group from one curve.
 
     ``start`` places the first precision-recall point: "one" at precision 1,
     "first" at the first observed precision. ``event_level="first"`` scores
@@ -57,8 +57,11 @@ def ranking_measures(df: DataFrame, groups: list[str], label: str, score: str, *
     step = F.try_divide(pos.cast("double"), F.col("positives"))
     both = F.col("positives").cast("double") * F.col("negatives")
     area = F.try_divide(neg * (tp0 + tp) / F.lit(2.0), both)
+    s = F.col("score")
+    error = pos * (1.0 - s) * (1.0 - s) + neg * s * s
     return curve.groupBy(*groups).agg(
         F.sum(area).alias("roc_auc"), F.sum(step * (before + here) / F.lit(2.0)).alias("pr_auc"),
+        F.try_divide(F.sum(error), F.sum(pos + neg)).alias("brier_class"),
     )
 
 
@@ -73,8 +76,7 @@ def brier(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame
 
 def metric_rows(df: DataFrame, groups: list[str], label: str, score: str, **options) -> DataFrame:
     """ROC AUC, PR AUC and Brier score per group as (metric, estimate) rows."""
-    wide = ranking_measures(df, groups, label, score, **options).join(
-        brier(df, groups, label, score).drop("brier_prevalence"), groups)
+    wide = ranking_measures(df, groups, label, score, **options)
     return wide.unpivot(groups, ["roc_auc", "pr_auc", "brier_class"], "metric", "estimate")
 
 

@@ -26,22 +26,30 @@ def measurements_in_window(
     index: DataFrame, facts: DataFrame, key: str, *,
     anchor: str, time: str, item: str | None = None, items: list[str] | None = None,
     value: str = "value", start_days: float, end_days: float, closed: str,
-    row_bound: int | None = None, policy: SkewPolicy = POLICY,
+    many_anchors: bool = False, row_bound: int | None = None, policy: SkewPolicy = POLICY,
 ) -> DataFrame:
     """Measurements of each index event that fall into its window.
 
-    ``index`` has one row per subject in a cohort of first events. The item
-    filter runs before the join, the window is part of the join, and hot
-    subjects of ``facts`` are spread over several tasks.
+    The item filter runs before the join, the window is part of the join, and
+    hot subjects of ``facts`` are spread over several tasks. ``index`` has one
+    row per subject, as in a cohort of first events; with ``many_anchors`` it
+    may have more, and time is cut into steps as long as the window, so a
+    measurement only meets anchors of its own and the neighbouring step.
     """
     if items is not None:
         facts = facts.filter(F.col(item).isin(items))
     spread = [c for c in (time, item, value) if c is not None]
+    condition = in_window(F.col(time), F.col(anchor), start_days, end_days, closed)
+    if not many_anchors:
+        return balanced_join(index, facts, [key], condition, spread, row_bound=row_bound, policy=policy)
+    width = F.lit(max(end_days - start_days, 1.0) * fv.MINUTES_PER_DAY)
+    low = F.col(anchor) + F.lit(start_days * fv.MINUTES_PER_DAY)
+    high = F.col(anchor) + F.lit(end_days * fv.MINUTES_PER_DAY)
+    known = index.filter(F.col(anchor).isNotNull())
+    stepped = known.withColumn("__step", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    placed = facts.withColumn("__step", F.floor(F.col(time) / width))
     return balanced_join(
-        index, facts, [key],
-        in_window(F.col(time), F.col(anchor), start_days, end_days, closed),
-        spread, row_bound=row_bound, policy=policy,
-    )
+        stepped, placed, [key, "__step"], condition, spread, row_bound=row_bound, policy=policy).drop("__step")
 
 
 def lookback(index, facts, key, *, days: float = fv.LOOKBACK_DAYS, **options) -> DataFrame:

@@ -29,7 +29,7 @@ def interval_summary(df: DataFrame, value: str, *, row_bound: int | None = None,
     return grouped_summary(
         df, [], value, fv.GAP_QUANTILES,
         {"n_intervals": F.count(v), "mean_days": F.avg(v), "sd_days": F.stddev_samp(v), "max_days": F.max(v)},
-        row_bound=row_bound, policy=policy,
+        reuse=True, row_bound=row_bound, policy=policy,
     )
 
 
@@ -86,7 +86,7 @@ def outlier_rows(df: DataFrame, groups: list[str], value: str, *, row_bound=None
     """Every row with its group's quartiles, fences and outlier flag."""
     limits = fences(df, groups, value, row_bound=row_bound, policy=policy).drop("n", "median")
     v = F.col(value)
-    return attach(df, limits, groups).withColumn(
+    return attach(df, limits, groups, row_bound=row_bound, policy=policy).withColumn(
         "is_outlier", (v < F.col("lower_fence")) | (v > F.col("upper_fence")))
 
 
@@ -128,7 +128,7 @@ def z_scores(df: DataFrame, groups: list[str], value: str, *, row_bound=None,
         df, groups, value, {"median_val": 0.5},
         {"__mean": F.avg(value), "__sd": F.stddev_samp(value)}, row_bound=row_bound, policy=policy)
     z = F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))
-    return attach(df, stats, groups).withColumn("z_score", z).drop("__mean", "__sd")
+    return attach(df, stats, groups, row_bound=row_bound, policy=policy).withColumn("z_score", z).drop("__mean", "__sd")
 
 
 def boxplot(df: DataFrame, groups: list[str], value: str, *, row_bound=None,
@@ -138,7 +138,7 @@ def boxplot(df: DataFrame, groups: list[str], value: str, *, row_bound=None,
     v = F.col(value)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     kept = ["n", "q25", "median", "q75"]
-    return attach(df, limits, groups).groupBy(*groups, *kept).agg(
+    return attach(df, limits, groups, row_bound=row_bound, policy=policy).groupBy(*groups, *kept).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"), F.count_if(F.abs(v) > 3).alias("n_beyond_3"),
     )
@@ -230,8 +230,10 @@ def mixed_summary(df: DataFrame, continuous: list[str], categorical: list[str],
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in categorical])
     levels = texts.unpivot([], categorical, "variable", "level").groupBy("variable", "level").agg(
         F.count(F.lit(1)).alias("rows"))
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col("rows"))).over(Window.partitionBy("variable"))
-    shares = levels.withColumn("pct", F.try_divide(F.col("rows") * 100.0, known))
+    known = levels.filter(F.col("level").isNotNull()).groupBy("variable").agg(F.sum("rows").alias("known"))
+    # one row per categorical column
+    shares = levels.join(F.broadcast(known), "variable", "left").withColumn(
+        "pct", F.try_divide(F.col("rows") * 100.0, F.col("known")))
     counted = F.array(
         F.struct(F.lit("n").alias("stat"), F.col("rows").cast("double").alias("value")),
         F.struct(F.lit("pct").alias("stat"), F.col("pct").alias("value")),
@@ -255,7 +257,7 @@ def time_to_event(df: DataFrame, event: str, anchor: str, window_days: float, *,
         events, [], "days", QUARTILES,
         {"n_events": F.count("days"), "n_beyond": F.count_if(beyond),
          "pct_beyond": F.avg(beyond.cast("double")) * 100.0},
-        row_bound=row_bound, policy=policy,
+        reuse=True, row_bound=row_bound, policy=policy,
     )
 
 

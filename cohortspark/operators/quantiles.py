@@ -16,6 +16,7 @@ def grouped_summary(
     quantiles: dict[str, float],
     aggregates: dict[str, Column] | None = None,
     *,
+    reuse: bool = False,
     row_bound: int | None = None,
     policy: SkewPolicy = POLICY,
 ) -> DataFrame:
@@ -24,7 +25,8 @@ def grouped_summary(
     The built-in ``percentile`` keeps all values of a group in one buffer, so
     it serves inputs of at most ``task_rows`` rows. Larger inputs are counted
     by distinct value first and the order statistics are picked by a balanced
-    ordered scan over those counts.
+    ordered scan over those counts. ``reuse`` writes groups and value once
+    when ``df`` is costly, as large inputs are read twice.
     """
     aggregates = aggregates or {}
     plain = [e.alias(n) for n, e in aggregates.items()]
@@ -33,6 +35,8 @@ def grouped_summary(
         out = df.groupBy(*groups).agg(*plain, q.alias("__q"))
         picks = [F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
         return out.select(*groups, *aggregates, *picks)
+    if reuse and plain:
+        df = cut(df.select(*groups, value))
     picked = _picked_quantiles(df, groups, value, quantiles, policy)
     if not plain:
         return picked

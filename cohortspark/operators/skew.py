@@ -211,36 +211,40 @@ def balanced_join(
     is the salt, so a rerun task gives every row the same salt again. The
     condition may refer to columns of both sides by name.
     """
-    total = rows_of(many, row_bound)
+    few, many, on = _salted(few, many, keys, spread, rows_of(many, row_bound), policy)
+    return few.join(many, on).filter(condition).drop("__salt")
+
+
+def _salted(few, many, keys, spread, total, policy):
+    """Both sides with a salt column if ``many`` has hot keys, else unchanged."""
     if total <= policy.task_rows:
-        return few.join(many, keys).filter(condition)
+        return few, many, keys
     limit = policy.hot_limit(total)
     hot = cut(
         many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
         .select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
     )
     if hot.isEmpty():
-        return few.join(many, keys).filter(condition)
+        return few, many, keys
     salts = F.coalesce(F.col("__salts"), F.lit(1))
-    left = (
-        few.join(F.broadcast(hot), keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    )
-    right = (
-        many.join(F.broadcast(hot), keys, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
-    )
-    return left.join(right, keys + ["__salt"]).filter(condition).drop("__salt")
+    few = few.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    many = many.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
+    return few, many, [*keys, "__salt"]
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], policy: SkewPolicy = POLICY) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], *, row_bound: int | None = None,
+           policy: SkewPolicy = POLICY) -> DataFrame:
     """Left join of per-group statistics onto rows, broadcast only if checked.
 
     The statistics are evaluated once and counted. Few rows are broadcast, so
-    the row side is not shuffled; more rows are left to the planner, which
-    splits skewed partitions at run time.
+    the row side is not shuffled; with more rows the groups are shuffled and
+    hot ones are spread by salt.
     """
     stats = cut(stats)
     if stats.count() <= policy.broadcast_rows:
-        stats = F.broadcast(stats)
-    return df.join(stats, keys, "left")
+        return df.join(F.broadcast(stats), keys, "left")
+    rest = [c for c in df.columns if c not in keys]
+    few, many, on = _salted(stats, df, keys, rest, rows_of(df, row_bound), policy)
+    return many.join(few, on, "left").drop("__salt")

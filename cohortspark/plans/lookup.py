@@ -10,8 +10,8 @@ from cohortspark.operators import lookups, outcomes, profile
 from cohortspark.operators.clean import null_out_of_range
 from cohortspark.operators.skew import SkewPolicy
 from cohortspark.plans.inputs import (
-    FIRST, ITEMS, LABS, LOOK, MODEL, WARD, WIDE, event_rows, first_operations, index_events,
-    lab_rows, labs, model_table, preop_rows, ward,
+    FIRST, ITEMS, LABS, LOOK, MODEL, SEQ, WARD, WIDE, event_rows, first_operations, index_events,
+    lab_rows, labs, model_table, operations, preop_rows, ward,
 )
 from cohortspark.plans.registry import register, rounded
 from cohortspark.sources.tables import table
@@ -37,6 +37,18 @@ def lookback_measurements_balanced(spark, sf):
     ).select(LOOK_COLUMNS)
 
 
+@register("lookback_all_operations", f"""WITH {SEQ}, {LABS}
+SELECT f.subject_id, f.op_id, l.item_name, l.chart_time, l.value
+FROM seq f JOIN labs l ON f.subject_id = l.subject_id
+WHERE l.chart_time <= f.start_time AND l.chart_time >= f.start_time - 180 * 1440""")
+def lookback_all_operations(spark, sf):
+    """Every operation is an anchor, so a measurement can serve several."""
+    every = operations(spark, sf).select("subject_id", "op_id", "start_time")
+    return lookups.lookback(
+        every, labs(spark, sf), "subject_id", anchor="start_time", time="chart_time", item="item_name",
+        items=ITEMS, many_anchors=True, row_bound=lab_rows(spark, sf)).select(LOOK_COLUMNS)
+
+
 @register("lookahead_measurements", f"""WITH {FIRST}, {LABS}
 SELECT f.subject_id, f.op_id, l.item_name, l.chart_time, l.value
 FROM first_ops f JOIN labs l ON f.subject_id = l.subject_id

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspark.operators import evaluate, folds, models
+from cohortspark.operators import evaluate, folds, models, prep
 from cohortspark.plans.registry import register, rounded
 from cohortspark.plans.scoring import label_rows
 from cohortspark.sources.tables import table
@@ -66,3 +66,45 @@ def out_of_fold_predictions(spark, sf):
     run = models.cross_validate(documents(spark, sf), "doc_id", "y", FEATURE_SETS["Size"], "LR (glm)",
                                 feature_set="Size", row_bound=label_rows(spark, sf))
     return run.predictions.filter(F.col("pred_yes").between(0, 1)).select("doc_id", "y")
+
+
+TRAIN = """f AS (SELECT doc_id, quality AS y, CAST((ROW_NUMBER() OVER (PARTITION BY quality
+  ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels), d AS (
+  SELECT f.doc_id, f.fold, f.y, lang, n_chars::DOUBLE AS n_chars,
+    CASE WHEN source <> 'src1' THEN length(source)::DOUBLE + n_chars / 7 END AS sparse
+  FROM f JOIN documents USING (doc_id))"""
+
+
+def plain_documents(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"),
+        F.when(F.col("source") != "src1", F.length("source") + F.col("n_chars") / 7).alias("sparse"))
+    folded = folds.assign_folds(table(spark, sf, "labels"), "doc_id", stratum="quality",
+                                row_bound=label_rows(spark, sf))
+    joined = folded.select("doc_id", "fold", F.col("quality").alias("y")).join(docs, "doc_id")
+    return models.feature_table(joined, "doc_id", "y", ["lang", "n_chars", "sparse"])
+
+
+@register("recipe_features", f"""WITH {TRAIN}, m AS (SELECT quantile_cont(sparse, 0.5) AS s FROM d WHERE fold <> 0)
+SELECT doc_id, n_chars, ROUND(COALESCE(sparse, s), 6) AS sparse, (sparse IS NULL)::INTEGER::DOUBLE AS na_ind_sparse,
+  (lang = 'de')::INTEGER::DOUBLE AS lang_de, (lang = 'en')::INTEGER::DOUBLE AS lang_en,
+  (lang = 'es')::INTEGER::DOUBLE AS lang_es, (lang = 'fr')::INTEGER::DOUBLE AS lang_fr
+FROM d CROSS JOIN m WHERE fold = 0""")
+def recipe_features(spark, sf):
+    """Columns prepared with medians and levels of the training folds only."""
+    rows = plain_documents(spark, sf)
+    recipe = prep.fit_recipe(folds.training(rows, 0), ["n_chars", "sparse", "lang", "not_there"], ["lang"],
+                             row_bound=label_rows(spark, sf))
+    flat = folds.held_out(rows, 0).select("doc_id", *[e.alias(n) for n, e in recipe.features().items()])
+    return rounded(flat, 6, "sparse")
+
+
+@register("factor_logit_cv", f"""WITH {TRAIN}, r AS (
+  SELECT k.fold, lang, AVG(y) AS rate FROM d CROSS JOIN (SELECT UNNEST(range(0, 5)) AS fold) k
+  WHERE d.fold <> k.fold GROUP BY k.fold, lang)
+SELECT doc_id, d.fold, y, ROUND(rate, 5) AS pred_yes FROM d JOIN r ON d.fold = r.fold AND d.lang = r.lang""")
+def factor_logit_cv(spark, sf):
+    """One categorical predictor: the fitted risk is the training rate per level."""
+    run = models.cross_validate(plain_documents(spark, sf), "doc_id", "y", ["lang"], "LR (glm)",
+                                nominal=["lang"], row_bound=label_rows(spark, sf))
+    return rounded(run.predictions.select("doc_id", "fold", "y", "pred_yes"), 5, "pred_yes")

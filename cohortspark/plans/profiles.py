@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortspark import fixed_values as fv
 from cohortspark.functions import scalar
 from cohortspark.operators import profile, reshape
+from cohortspark.operators.clean import by_prefix
 from cohortspark.operators.skew import SkewPolicy
 from cohortspark.plans.cohort import GAPS, gaps, order_rows
 from cohortspark.plans.inputs import MODEL, MODEL_LONG, WIDE, event_rows, model_table
@@ -24,7 +25,8 @@ SMALL_TASKS = SkewPolicy(task_rows=200, hot_keys=1_000_000, pieces=8, accuracy=1
   ROUND(COUNT(*) FILTER (WHERE value IS NULL) * 100.0 / COUNT(*), 2) AS pct_missing
 FROM long GROUP BY variable""")
 def missingness_profile(spark, sf):
-    return profile.missingness(model_table(spark, sf), WIDE).limit(20)
+    rows = model_table(spark, sf)
+    return profile.missingness(rows, by_prefix(rows, "preop_")).limit(20)
 
 
 PROFILE_NUMBERS = ["mean", "sd", "min", "max", "pct_missing", *fv.COLUMN_QUANTILES]

@@ -101,14 +101,14 @@ SELECT model, fold, ROUND(roc_auc, 9) AS roc_auc FROM auc""")
 def roc_auc_by_fold(spark, sf):
     out = evaluate.ranking_measures(scored(spark, sf), ["model", "fold"], "y", "score",
                                     row_bound=2 * label_rows(spark, sf))
-    return rounded(out.drop("pr_auc"), 9, "roc_auc")
+    return rounded(out.select("model", "fold", "roc_auc"), 9, "roc_auc")
 
 
 @register("roc_auc_pooled", f"""{SCORED}, {rank_sql('model')} SELECT model, ROUND(roc_auc, 9) AS roc_auc FROM auc""")
 def roc_auc_pooled(spark, sf):
     out = evaluate.ranking_measures(scored(spark, sf), ["model"], "y", "score",
                                     row_bound=2 * label_rows(spark, sf), policy=SMALL_TASKS)
-    return rounded(out.drop("pr_auc"), 9, "roc_auc")
+    return rounded(out.select("model", "roc_auc"), 9, "roc_auc")
 
 
 def pr_query(start, event_level="second"):
@@ -116,7 +116,7 @@ def pr_query(start, event_level="second"):
         out = evaluate.ranking_measures(
             scored(spark, sf), ["model"], "y", "score", start=start, event_level=event_level,
             row_bound=2 * label_rows(spark, sf))
-        return rounded(out.drop("roc_auc"), 9, "pr_auc")
+        return rounded(out.select("model", "pr_auc"), 9, "pr_auc")
     return run
 
 
@@ -179,7 +179,7 @@ GAIN = f"""{SCORED}, {rank_sql('model, lang')}, steps AS (
 
 def gains(spark, sf):
     auc = evaluate.ranking_measures(scored(spark, sf), ["model", "lang"], "y", "score",
-                                    row_bound=2 * label_rows(spark, sf)).drop("pr_auc")
+                                    row_bound=2 * label_rows(spark, sf)).drop("pr_auc", "brier_class")
     return evaluate.incremental_gain(auc, "model", "lang", "roc_auc")
 
 
