@@ -232,12 +232,12 @@ def body(spark, sf):
     """Customers with body measures derived from their columns."""
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("subject_id"),
-        (F.lit(100.0) + F.col("c_nationkey") * 5).alias("height"),
+        (F.lit(97.3) + F.col("c_nationkey") * F.lit(5.37)).alias("height"),
         (F.col("c_acctbal") / 40).alias("weight"),
         F.when(F.col("c_mktsegment") == "BUILDING", "M").when(F.col("c_mktsegment") != "MACHINERY", "F").alias("sex"))
 
 
-BODY = """body AS (SELECT c_custkey AS subject_id, 100.0::DOUBLE + c_nationkey * 5 AS height,
+BODY = """body AS (SELECT c_custkey AS subject_id, 97.3::DOUBLE + c_nationkey * 5.37::DOUBLE AS height,
   c_acctbal / 40 AS weight, CASE WHEN c_mktsegment = 'BUILDING' THEN 'M'
   WHEN c_mktsegment <> 'MACHINERY' THEN 'F' END AS sex FROM customer)"""
 

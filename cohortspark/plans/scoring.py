@@ -349,10 +349,13 @@ def logit_saturated(spark, sf):
     return rounded(out, 6, "estimate", "std_error", "odds_ratio", "or_lower", "or_upper")
 
 
-@register("auroc_two_ways")
+@register("auroc_two_ways", f"""{SCORED}, {rank_sql('model')} SELECT model, ROUND(roc_auc, 9) AS roc_auc,
+  ROUND(roc_auc, 9) AS roc_auc_ml, TRUE AS same FROM auc WHERE model = 'chars'""")
 def auroc_two_ways(spark, sf):
+    """The curve's AUC beside the ML library's, and whether they agree."""
     rows = scored(spark, sf).filter(F.col("model") == "chars")
     own = evaluate.ranking_measures(rows, ["model"], "y", "score", row_bound=label_rows(spark, sf))
     other = models.evaluator_auc(rows, "y", "score")
-    return own.select("model", "roc_auc", F.lit(other).alias("roc_auc_ml"),
-                      F.abs(F.col("roc_auc") - F.lit(other)).alias("difference"))
+    out = own.select("model", "roc_auc", F.lit(other).alias("roc_auc_ml"),
+                     (F.abs(F.col("roc_auc") - F.lit(other)) < 1e-9).alias("same"))
+    return rounded(out, 9, "roc_auc", "roc_auc_ml")
