@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixed_values as fv
 from cohortspark.operators.quantiles import grouped_summary
-from cohortspark.operators.skew import POLICY, SkewPolicy, ordered_scan, rows_of
+from cohortspark.operators.skew import POLICY, SkewPolicy, attach, ordered_scan, rows_of
 from cohortspark.session import cut
 
 
-def score_curve(df: DataFrame, groups: list[str], label: str, score: str, *,
-                row_bound: int | None = None, policy: SkewPolicy = POLICY) -> DataFrame:
-    """One row per distinct score: own and cumulative counts, highest first."""
+def score_counts(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score."""
     y = F.col(label)
-    counts = (
+    return (
         df.filter(y.isNotNull() & F.col(score).isNotNull())
         .groupBy(*groups, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-        .withColumn("__down", -F.col("score"))
     )
+
+
+def score_curve(df: DataFrame, groups: list[str], label: str, score: str, *,
+                row_bound: int | None = None, policy: SkewPolicy = POLICY) -> DataFrame:
+    """One row per distinct score: own and cumulative counts, highest first."""
+    counts = score_counts(df, groups, label, score).withColumn("__down", -F.col("score"))
     bound = rows_of(df, row_bound)
     if bound > policy.task_rows:
         counts, bound = cut(counts), None
@@ -121,27 +125,30 @@ def rates(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 
 def threshold_sweep(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
-    """Sensitivity, specificity and Youden's J at 0.01, 0.02 … 0.99.
+    """Sensitivity, specificity and Youden's J at 0.01, 0.02 … 0.99."""
+    return sweep_counts(score_counts(df, [group], label, score), group)
+
+
+def sweep_counts(counts: DataFrame, group: str) -> DataFrame:
+    """The sweep over counted scores.
 
-    Each row is counted in the highest grid step its score reaches; the counts
+    Each score is placed at the highest grid step it reaches; the step counts
     (at most 100 per group) are then summed from the top.
     """
     first, last = fv.THRESHOLD_GRID
-    s = F.col(score).cast("double")
+    s = F.col("score")
     guess = F.floor(s * 100).cast("int")
     step = (
         F.when(s >= (guess + 1) / F.lit(100.0), guess + 1)
         .when(s < guess / F.lit(100.0), guess - 1).otherwise(guess)
     )
     step = F.greatest(F.lit(first - 1), F.least(step, F.lit(last)))
-    y = F.col(label)
-    counts = df.filter(y.isNotNull() & s.isNotNull()).groupBy(group, step.alias("step")).agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    whole = counts.groupBy(group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    steps = counts.groupBy(group, step.alias("step")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    whole = steps.groupBy(group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     grid = whole.select(group, "p", "n", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("step"))
     down = Window.partitionBy(group).orderBy(F.col("step").desc())
     zero = F.lit(0).cast("bigint")
-    summed = grid.join(counts, [group, "step"], "left").select(
+    summed = grid.join(steps, [group, "step"], "left").select(
         group, "step", "p", "n",
         F.sum(F.coalesce("pos", zero)).over(down).alias("tp"),
         F.sum(F.coalesce("neg", zero)).over(down).alias("fp"))
@@ -179,33 +186,37 @@ def operating_points(df: DataFrame, group: str, label: str, score: str, *,
     """Confusion rows at a fixed cut, at the best J and at high sensitivity.
 
     The last cut is the 20th percentile of the positives' scores, pooled over
-    all groups unless ``per_group`` is set. All cuts are evaluated in one pass
-    over the rows.
+    all groups unless ``per_group`` is set. Rows are counted by score once,
+    and all cuts are found and evaluated on those counts.
     """
-    best = best_thresholds(threshold_sweep(df, group, label, score), group)
-    positives = df.filter(F.col(label) == 1)
-    quantile = {"cut": fv.POSITIVE_QUANTILE}
+    counts = cut(score_counts(df, [group], label, score))
+    best = best_thresholds(sweep_counts(counts, group), group)
+    positives = counts.filter(F.col("pos") > 0)
+    options = dict(weight="pos", row_bound=row_bound, policy=policy)
+    quantile = {"sensitive": fv.POSITIVE_QUANTILE}
     cuts = best.select(group, F.col("threshold").alias("youden"))
     if per_group:
-        own = grouped_summary(positives, [group], score, quantile, row_bound=row_bound, policy=policy)
-        cuts = cuts.join(own.withColumnRenamed("cut", "sensitive"), group, "left")
+        cuts = cuts.join(grouped_summary(positives, [group], "score", quantile, **options), group, "left")
     else:
-        pooled = grouped_summary(positives, [], score, quantile, row_bound=row_bound, policy=policy)
+        pooled = grouped_summary(positives, [], "score", quantile, **options)
         cuts = cuts.withColumn("sensitive", pooled.scalar())
     if prevalence:
-        rate = df.groupBy(group).agg(F.avg(F.col(label).cast("double")).alias("fixed"))
-        cuts = cuts.join(rate, group)
+        rate = F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))
+        cuts = cuts.join(counts.groupBy(group).agg(rate.alias("fixed")), group)
     else:
         cuts = cuts.withColumn("fixed", F.lit(float(fixed)))
     named = F.array(*[
         F.struct(F.lit(name).alias("threshold_name"), F.col(c).alias("threshold"))
         for name, c in (("Fixed", "fixed"), ("Youden's J", "youden"), ("80% Sensitivity", "sensitive"))
     ])
-    cuts = cut(cuts.select(group, named.alias("__cuts")))
-    # one array of three thresholds per group: the joined side stays as small as the groups
-    rows = df.join(F.broadcast(cuts), group) if cuts.count() <= policy.broadcast_rows else df.join(cuts, group)
-    opened = rows.select(group, label, score, F.inline("__cuts"))
-    return confusion(opened, [group, "threshold_name"], label, score, F.col("threshold"))
+    opened = attach(counts, cuts.select(group, named.alias("__cuts")), [group], policy=policy).select(
+        group, "score", "pos", "neg", F.inline("__cuts"))
+    call = F.col("score") >= F.col("threshold")
+    pos, neg, none = F.col("pos"), F.col("neg"), F.lit(0)
+    counted = opened.groupBy(group, "threshold_name", "threshold").agg(
+        F.sum(F.when(call, pos).otherwise(none)).alias("TP"), F.sum(F.when(call, none).otherwise(neg)).alias("TN"),
+        F.sum(F.when(call, neg).otherwise(none)).alias("FP"), F.sum(F.when(call, none).otherwise(pos)).alias("FN"))
+    return counted.withColumns(rates(F.col("TP"), F.col("TN"), F.col("FP"), F.col("FN")))
 
 
 def margins(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -63,8 +63,8 @@ def full_trees(trees: int = fv.TREES_FULL["trees"], n_inputs: int = 1, n_feature
         featureSubsetStrategy=str(tried), weightCol="__weight", seed=42)
 
 
-MODELS = {"LR (glm)": logit, "LR (glmnet)": elastic_net, "XGB single": single_trees, "XGB": full_trees}
-WEIGHTED = {"XGB"}
+MODELS = {"LR (glm)": logit, "LR (glmnet)": elastic_net, "GBT single": single_trees, "GBT": full_trees}
+WEIGHTED = {"GBT"}
 DROPS_LEVEL = {"LR (glm)"}
 
 
@@ -160,6 +160,8 @@ def coefficient_table(df: DataFrame, label: str, factor: str, reference: str, *,
     flat = counts.select("label", "weight", *[
         (F.col("level") == x).cast("double").alias(f"f_{i}") for i, x in enumerate(others)])
     ready = VectorAssembler(inputCols=[f"f_{i}" for i in range(len(others))], outputCol="features").transform(flat)
+    # at most max_levels rows: one task per pass
+    ready = ready.coalesce(1)
     fitted = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-12).fit(ready)
     summary = fitted.summary

@@ -16,6 +16,7 @@ def grouped_summary(
     quantiles: dict[str, float],
     aggregates: dict[str, Column] | None = None,
     *,
+    weight: str | None = None,
     reuse: bool = False,
     row_bound: int | None = None,
     policy: SkewPolicy = POLICY,
@@ -26,18 +27,20 @@ def grouped_summary(
     it serves inputs of at most ``task_rows`` rows. Larger inputs are counted
     by distinct value first and the order statistics are picked by a balanced
     ordered scan over those counts. ``reuse`` writes groups and value once
-    when ``df`` is costly, as large inputs are read twice.
+    when ``df`` is costly, as large inputs are read twice. ``weight`` names a
+    column of whole counts for inputs that are already counted.
     """
     aggregates = aggregates or {}
     plain = [e.alias(n) for n, e in aggregates.items()]
     if rows_of(df, row_bound) <= policy.task_rows:
-        q = F.percentile(F.col(value), F.array(*[F.lit(p) for p in quantiles.values()]))
+        times = F.lit(1) if weight is None else F.col(weight)
+        q = F.percentile(F.col(value), F.array(*[F.lit(p) for p in quantiles.values()]), times)
         out = df.groupBy(*groups).agg(*plain, q.alias("__q"))
         picks = [F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
         return out.select(*groups, *aggregates, *picks)
     if reuse and plain:
-        df = cut(df.select(*groups, value))
-    picked = _picked_quantiles(df, groups, value, quantiles, policy)
+        df = cut(df.select(*groups, value, *([weight] if weight else [])))
+    picked = _picked_quantiles(df, groups, value, quantiles, weight, policy)
     if not plain:
         return picked
     base = df.groupBy(*groups).agg(*plain)
@@ -48,10 +51,12 @@ def grouped_summary(
     return base.join(renamed, on, "left").select(*groups, *aggregates, *quantiles)
 
 
-def _picked_quantiles(df, groups, value, quantiles, policy):
+def _picked_quantiles(df, groups, value, quantiles, weight, policy):
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = cut(
         df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .agg(times.alias("__c"))
+        .filter(F.col("__c") > 0)
     )
     scan = ordered_scan(
         counts, groups, ["__v"], running={"__upto": F.col("__c")},

@@ -164,9 +164,8 @@ def _piece_number(value, points):
 
 
 def _stitch(df, keys, pieces, order, running, previous, totals, hot):
-    local = _scan(df, keys + pieces, order, running, previous, totals)
-    ordered = Window.partitionBy(*keys, *pieces).orderBy(*nulls_last(order))
-    local = local.withColumn("__head", F.lag(F.lit(1)).over(ordered).isNull())
+    seen = {"__seen": F.lit(1)} if previous else {}
+    local = _scan(df, keys + pieces, order, running, {**previous, **seen}, totals)
 
     sums = {**{"__r_" + n: e for n, e in running.items()}, **{"__t_" + n: e for n, e in totals.items()}}
     folded = [F.sum(e).alias(n) for n, e in sums.items()]
@@ -188,9 +187,9 @@ def _stitch(df, keys, pieces, order, running, previous, totals, hot):
     new = {n: F.col(n) + F.coalesce(F.col("__r_" + n), F.lit(0)) for n in running}
     new.update({n: F.coalesce(F.col("__t_" + n), F.col(n)) for n in totals})
     new.update({
-        n: F.when(F.col("__head"), F.col("__tail")[n]).otherwise(F.col(n)) for n in previous
+        n: F.when(F.col("__seen").isNull(), F.col("__tail")[n]).otherwise(F.col(n)) for n in previous
     })
-    extra = ["__r_" + n for n in running] + ["__t_" + n for n in totals] + ["__tail", "__head"]
+    extra = ["__r_" + n for n in running] + ["__t_" + n for n in totals] + ["__tail", "__seen"]
     return out.withColumns(new).drop(*extra)
 
 

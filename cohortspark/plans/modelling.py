@@ -46,8 +46,8 @@ def validated(model, feature_set="Text", **options):
 
 register("logit_cv")(validated("LR (glm)", "Full"))
 register("enet_cv")(validated("LR (glmnet)", "Full"))
-register("gbt_single_cv")(validated("XGB single", "Size", trees=5))
-register("gbt_cv")(validated("XGB", "Text", trees=5))
+register("gbt_single_cv")(validated("GBT single", "Size", trees=5))
+register("gbt_cv")(validated("GBT", "Text", trees=5))
 
 
 @register("feature_ladder")

@@ -204,7 +204,7 @@ def bar_and_line_data(spark, sf):
 
 PREDS = """scored AS (SELECT m.model, CAST(l_returnflag = 'R' AS INTEGER) AS y,
   CASE m.model WHEN 'LR' THEN l_discount * 10 ELSE l_quantity / 50 END AS score
-  FROM lineitem CROSS JOIN (VALUES ('LR'), ('XGB')) m(model))"""
+  FROM lineitem CROSS JOIN (VALUES ('LR'), ('GBT')) m(model))"""
 
 
 def predictions(spark, sf):
@@ -213,7 +213,7 @@ def predictions(spark, sf):
     y = (F.col("l_returnflag") == "R").cast("int").alias("y")
     return reshape.stack_rows(
         lines.select(F.lit("LR").alias("model"), y, (F.col("l_discount") * 10).alias("score")),
-        lines.select(F.lit("XGB").alias("model"), y, (F.col("l_quantity") / 50).alias("score")))
+        lines.select(F.lit("GBT").alias("model"), y, (F.col("l_quantity") / 50).alias("score")))
 
 
 def prediction_rows(spark, sf):
@@ -322,6 +322,18 @@ def confusion_per_model(spark, sf):
     return rounded(rounded(out, 9, *RATES), 6, "threshold")
 
 
+@register("confusion_fixed", f"""WITH {PREDS}, t AS (SELECT model,
+  COUNT(*) FILTER (WHERE y = 1 AND score >= 0.3) AS TP, COUNT(*) FILTER (WHERE y = 0 AND score < 0.3) AS TN,
+  COUNT(*) FILTER (WHERE y = 0 AND score >= 0.3) AS FP, COUNT(*) FILTER (WHERE y = 1 AND score < 0.3) AS FN
+  FROM scored GROUP BY model)
+SELECT model, TP, TN, FP, FN, 0.3::DOUBLE AS threshold, ROUND(TP * 1.0 / NULLIF(TP + FN, 0), 9) AS sensitivity,
+  ROUND(TN * 1.0 / NULLIF(TN + FP, 0), 9) AS specificity, ROUND(TP * 1.0 / NULLIF(TP + FP, 0), 9) AS ppv,
+  ROUND(TN * 1.0 / NULLIF(TN + FN, 0), 9) AS npv, ROUND(FP * 1.0 / NULLIF(FP + TN, 0), 9) AS fpr FROM t""")
+def confusion_fixed(spark, sf):
+    out = evaluate.confusion(predictions(spark, sf), ["model"], "y", "score", F.lit(0.3))
+    return rounded(out, 9, *RATES)
+
+
 @register("confusion_margins", f"""WITH {PREDS}, c AS (
   SELECT CASE WHEN y = 1 THEN 'yes' ELSE 'no' END AS truth,
     CASE WHEN score >= 0.5 THEN 'yes' ELSE 'no' END AS predicted FROM scored WHERE model = 'LR')

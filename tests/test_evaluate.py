@@ -148,12 +148,12 @@ def test_logit_scores_equal_newton(table):
 
 
 def test_other_models_rank_better_than_chance(table):
-    for model in ("LR (glmnet)", "XGB single", "XGB"):
+    for model in ("LR (glmnet)", "GBT single", "GBT"):
         run = models.cross_validate(table, "id", "y", INPUTS, model, nominal=["kind"], folds=5, trees=4)
         assert run.predictions.count() == table.count()
         auc = run.metrics.filter("metric = 'roc_auc'").first()["mean"]
         assert auc > 0.55
-        if model == "XGB":
+        if model == "GBT":
             ones = table.filter("y = 1").count()
             assert run.settings["ratio"] == pytest.approx((table.count() - ones) / ones)
 
