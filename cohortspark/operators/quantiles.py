@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators.skew import POLICY, SkewPolicy, ordered_scan, rows_of
+from cohortspark.operators.skew import (
+    POLICY, SkewPolicy, cut_points, known_keys, ordered_scan, piece_number, rows_of,
+)
 from cohortspark.session import cut
 
 
@@ -24,56 +26,96 @@ def grouped_summary(
     """One row per group: the aggregates, then the named quantiles.
 
     The built-in ``percentile`` keeps all values of a group in one buffer, so
-    it serves inputs of at most ``task_rows`` rows. Larger inputs are counted
-    by distinct value first and the order statistics are picked by a balanced
-    ordered scan over those counts. ``reuse`` writes groups and value once
-    when ``df`` is costly, as large inputs are read twice. ``weight`` names a
-    column of whole counts for inputs that are already counted.
+    it serves groups of at most ``task_rows`` rows. Larger groups are cut at
+    approximate quantiles next to the wanted ones; exact counts of the pieces
+    tell which pieces hold the wanted ranks, and only their rows are shuffled.
+    ``reuse`` writes groups and value once when ``df`` is costly, as large
+    inputs are read several times. ``weight`` names a column of whole counts
+    for inputs that are already counted.
     """
     aggregates = aggregates or {}
     plain = [e.alias(n) for n, e in aggregates.items()]
-    if rows_of(df, row_bound) <= policy.task_rows:
-        times = F.lit(1) if weight is None else F.col(weight)
-        q = F.percentile(F.col(value), F.array(*[F.lit(p) for p in quantiles.values()]), times)
+    total = rows_of(df, row_bound)
+    if total <= policy.task_rows:
+        q = _percentile(value, weight, quantiles)
         out = df.groupBy(*groups).agg(*plain, q.alias("__q"))
-        picks = [F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
-        return out.select(*groups, *aggregates, *picks)
-    if reuse and plain:
+        return out.select(*groups, *aggregates, *_named(quantiles))
+    if reuse:
         df = cut(df.select(*groups, value, *([weight] if weight else [])))
-    picked = _picked_quantiles(df, groups, value, quantiles, weight, policy)
-    if not plain:
-        return picked
-    base = df.groupBy(*groups).agg(*plain)
-    if not groups:
-        return base.withColumn("__one", F.lit(1)).join(picked.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
-    renamed = picked.withColumnsRenamed({g: "__g_" + g for g in groups})
-    on = [F.col(g).eqNullSafe(F.col("__g_" + g)) for g in groups]
-    return base.join(renamed, on, "left").select(*groups, *aggregates, *quantiles)
-
-
-def _picked_quantiles(df, groups, value, quantiles, weight, policy):
-    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = cut(
-        df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v"))
-        .agg(times.alias("__c"))
-        .filter(F.col("__c") > 0)
-    )
-    scan = ordered_scan(
-        counts, groups, ["__v"], running={"__upto": F.col("__c")},
-        totals={"__n": F.col("__c")}, policy=policy,
-    )
-    start, upto = F.col("__upto") - F.col("__c"), F.col("__upto")
+    picked = _large_quantiles(df, groups, value, quantiles, weight, total, policy)
+    base = df.groupBy(*groups).agg(*(plain or [F.count(F.lit(1)).alias("__rows")]))
+    base, on, _ = known_keys(base, groups, declared=False)
+    picked, _, _ = known_keys(picked, groups, declared=False)
+    return base.join(picked.drop(*groups), on, "left").select(*groups, *aggregates, *quantiles)
+
+
+def _percentile(value, weight, quantiles):
+    times = F.lit(1) if weight is None else F.col(weight)
+    return F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in quantiles.values()]), times)
+
+
+def _named(quantiles):
+    return [F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
+
+
+def _large_quantiles(df, groups, value, quantiles, weight, total, policy):
+    """Quantiles per group with known values; small groups by ``percentile``."""
+    rows = df.filter(F.col(value).isNotNull()).withColumn(
+        "__w", F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint"))
+    rows, keys, _ = known_keys(rows, groups)
+    sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.sum("__w").alias("__n")))
+    hot = sizes.filter(F.col("__rows") > policy.hot_limit(total)).drop("__rows")
+    n_hot, n_all = hot.count(), sizes.count()
+    parts = []
+    if n_hot < n_all or n_hot == 0:
+        cold = rows if n_hot == 0 else rows.join(F.broadcast(hot), keys, "left_anti")
+        q = _percentile(value, "__w", quantiles).alias("__q")
+        parts.append(cold.groupBy(*groups).agg(q).select(*groups, *_named(quantiles)))
+    if n_hot > 0:
+        parts.append(_hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
+    probs = _around(quantiles.values(), policy) if weight is None else [
+        (i + 1) / (policy.pieces + 1) for i in range(policy.pieces)]
+    points = cut_points(rows, keys, value, hot, probs, policy)
+    # at most hot_keys rows on the broadcast side
+    tagged = rows.join(F.broadcast(points), keys).withColumn(
+        "__piece", piece_number(F.col(value), F.col("__points"))).drop("__points")
+    counted = tagged.groupBy(*keys, "__piece").agg(F.sum("__w").alias("__m"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    places = [(F.col("__n") - 1) * F.lit(float(p)) for p in quantiles.values()]
+    start = F.col("__start")
+    wanted = F.lit(False)
+    for place in places:
+        for rank in (F.floor(place), F.ceil(place)):
+            wanted = wanted | ((start <= rank) & (rank < start + F.col("__m")))
+    # a few pieces per hot key
+    needed = cut(
+        counted.withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+        .join(F.broadcast(hot), keys).filter(wanted).select(*keys, "__piece", "__start", "__n"))
+    by = [*keys, "__piece"]
+    values = cut(
+        tagged.join(F.broadcast(needed), by)
+        .groupBy(*dict.fromkeys([*groups, *by, "__start", "__n"]), F.col(value).alias("__v"))
+        .agg(F.sum("__w").alias("__c")))
+    scan = ordered_scan(values, by, ["__v"], running={"__upto": F.col("__c")}, policy=policy)
+    upto = start + F.col("__upto")
 
     def pick(rank):
-        return F.max(F.when((start <= rank) & (rank < upto), F.col("__v")))
-
-    picks, cols = [], []
-    for i, (name, p) in enumerate(quantiles.items()):
-        place = (F.col("__n") - 1) * F.lit(float(p))
-        picks += [
-            pick(F.floor(place)).alias(f"__lo{i}"), pick(F.ceil(place)).alias(f"__hi{i}"),
-            F.max(place - F.floor(place)).alias(f"__f{i}"),
-        ]
+        return F.max(F.when((upto - F.col("__c") <= rank) & (rank < upto), F.col("__v")))
+
+    picks, out = [], []
+    for i, (name, place) in enumerate(zip(quantiles, places)):
+        picks += [pick(F.floor(place)).alias(f"__lo{i}"), pick(F.ceil(place)).alias(f"__hi{i}"),
+                  F.max(place - F.floor(place)).alias(f"__f{i}")]
         low, high, part = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")
-        cols.append(((1 - part) * low + part * high).alias(name))
-    return scan.groupBy(*groups).agg(*picks).select(*groups, *cols)
+        out.append(((1 - part) * low + part * high).alias(name))
+    return scan.groupBy(*groups).agg(*picks).select(*groups, *out)
+
+
+def _around(wanted, policy):
+    """Cut places just below and above each wanted quantile."""
+    step = 2.0 / policy.accuracy
+    return sorted({min(1.0, max(0.0, p + d)) for p in wanted for d in (-step, step)})

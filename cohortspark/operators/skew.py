@@ -11,6 +11,7 @@ hot keys x pieces) are added afterwards. Results are the same in both plans.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def ordered_scan(
     running, previous, totals = running or {}, previous or {}, totals or {}
     total = rows_of(df, row_bound)
     if total > policy.task_rows:
-        keyed, group, added = _with_keys(df, keys)
+        keyed, group, added = known_keys(df, keys)
         tagged, pieces = _cut_hot_keys(keyed, group, order, policy.hot_limit(total), policy)
         if pieces:
             out = _stitch(tagged, group, pieces, order, running, previous, totals, F.col("__hot"))
@@ -94,16 +95,44 @@ def scan_in_pieces(
     running: dict[str, Column],
 ) -> DataFrame:
     """Ordered scan when a column already cuts every key into ordered pieces."""
-    df, keys, added = _with_keys(df, keys)
+    df, keys, added = known_keys(df, keys)
     df = df.withColumn("__piece0", piece)
     out = _stitch(df, keys, ["__piece0"], order, running, {}, {}, F.lit(True))
     return out.drop("__piece0", *added)
 
 
-def _with_keys(df, keys):
-    if keys:
-        return df, list(keys), []
-    return df.withColumn("__all", F.lit(0)), ["__all"], ["__all"]
+def known_keys(
+    df: DataFrame, keys: list[str], declared: bool = True,
+) -> tuple[DataFrame, list[str], list[str]]:
+    """Key columns that are never NULL, so that rows of a NULL key join and spread.
+
+    Keys declared not NULL are used as they are if ``declared`` is set. Returns the table, the columns to group and join by, and the added ones.
+    """
+    if not keys:
+        return df.withColumn("__all", F.lit(0)), ["__all"], ["__all"]
+    fields = {f.name: f for f in df.schema.fields}
+    use, added = [], {}
+    for i, name in enumerate(keys):
+        blank = _blank(fields[name].dataType)
+        if blank is None or (declared and not fields[name].nullable):
+            use.append(name)
+            continue
+        added[f"__key{i}"] = F.coalesce(F.col(name), blank)
+        added[f"__null{i}"] = F.col(name).isNull()
+        use += [f"__key{i}", f"__null{i}"]
+    return df.withColumns(added), use, list(added)
+
+
+def _blank(kind):
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    return None
 
 
 def _scan(df, keys, order, running, previous, totals):
@@ -119,14 +148,12 @@ def _scan(df, keys, order, running, previous, totals):
 def _cut_hot_keys(df, keys, order, limit, policy):
     """Add piece numbers that rise with the order inside each hot key.
 
-    Every cut point is a piece of its own (odd number), so a single heavy
-    value is isolated and cut again by the next order column. The cut points
-    are at most ``hot_keys`` short arrays; they are evaluated once per level,
-    and no column is added when no key is hot.
+    A single heavy value is a piece of its own and is cut again by the next
+    order column. No column is added when no key is hot.
     """
-    probs = [(i + 1) / (policy.pieces + 1) for i in range(policy.pieces)]
     kinds = {f.name: f.dataType for f in df.schema.fields}
     group, pieces, out = list(keys), [], df
+    probs = [(i + 1) / (policy.pieces + 1) for i in range(policy.pieces)]
     for name in order:
         if not isinstance(kinds[name], _ORDERED):
             break
@@ -135,25 +162,35 @@ def _cut_hot_keys(df, keys, order, limit, policy):
             source.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
             .filter(F.col("__n") > limit).select(*group)
         )
-        marks = F.percentile_approx(name, probs, policy.accuracy)
-        no_marks = F.array().cast(T.ArrayType(kinds[name]))
-        points = cut(
-            source.join(F.broadcast(hot), group, "left_semi").groupBy(*group)
-            .agg(F.array_distinct(F.coalesce(marks, no_marks)).alias("__points"))
-        )
+        points = cut_points(source, group, name, hot, probs, policy)
         if points.isEmpty():
             break
         piece = f"__piece{len(pieces)}"
         out = out.join(F.broadcast(points), group, "left")
         if not pieces:
             out = out.withColumn("__hot", F.col("__points").isNotNull())
-        out = out.withColumn(piece, _piece_number(F.col(name), F.col("__points"))).drop("__points")
+        out = out.withColumn(piece, piece_number(F.col(name), F.col("__points"))).drop("__points")
         pieces.append(piece)
         group.append(piece)
     return out, pieces
 
 
-def _piece_number(value, points):
+def cut_points(df, keys, name, hot, probs, policy):
+    """Approximate quantiles of a column for each hot key, evaluated once.
+
+    At most ``hot_keys`` short arrays in a column ``__points``.
+    """
+    kind = next(f.dataType for f in df.schema.fields if f.name == name)
+    marks = F.percentile_approx(name, probs, policy.accuracy)
+    no_marks = F.array().cast(T.ArrayType(kind))
+    return cut(
+        df.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys)
+        .agg(F.array_distinct(F.coalesce(marks, no_marks)).alias("__points"))
+    )
+
+
+def piece_number(value: Column, points: Column) -> Column:
+    """0 without cut points, odd on a cut point, even between two, odd for NULL."""
     below = F.size(F.filter(points, lambda p: p < value))
     at = F.array_contains(points, value).cast("int")
     return (
@@ -228,6 +265,9 @@ def _salted(few, many, keys, spread, total, policy):
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     few = few.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    # rows of a NULL key match nothing and may go anywhere
+    lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salts = F.when(lost, F.lit(1024)).otherwise(salts)
     many = many.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
     return few, many, [*keys, "__salt"]

@@ -69,6 +69,18 @@ def test_hot_subject_is_split_between_tasks(events):
     assert tagged.filter("subject <> 0 AND NOT __hot").count() > 0
 
 
+def test_null_subject_is_spread_too(events):
+    df = events.withColumn("subject", F.when(F.col("subject") != 0, F.col("subject")))
+    got = ordered_scan(df, ["subject"], ["start", "op"], running={"n": F.lit(1)},
+                       previous={"before": F.col("op")}, totals={"size": F.lit(1)}, policy=TINY)
+    rows = in_order([r for r in df.collect() if r["subject"] is None])
+    mine = {r["op"]: r for r in got.filter("subject IS NULL").collect()}
+    last = None
+    for n, r in enumerate(rows, 1):
+        assert (mine[r["op"]]["n"], mine[r["op"]]["before"], mine[r["op"]]["size"]) == (n, last, len(rows))
+        last = r["op"]
+
+
 def test_plain_plan_when_no_key_is_hot(events):
     out = ordered_scan(events, ["op"], ["start"], running={"n": F.lit(1)}, policy=TINY)
     assert {r["n"] for r in out.collect()} == {1}
