@@ -77,12 +77,13 @@ def _large_quantiles(df, groups, value, quantiles, weight, total, policy):
 
 
 def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
-    probs = _around(quantiles.values(), policy) if weight is None else [
-        (i + 1) / (policy.pieces + 1) for i in range(policy.pieces)]
-    points = cut_points(rows, keys, value, hot, probs, policy)
+    # counted inputs have no rank of their own before the counts are added up
+    probs = _around(quantiles.values(), policy) if weight is None else [i / 64 for i in range(1, 64)]
+    points = cut_points(rows, keys, value, hot.select(*keys), probs, policy.accuracy).select(
+        *keys, F.array_distinct("__points").alias("__points"))
     # at most hot_keys rows on the broadcast side
     tagged = rows.join(F.broadcast(points), keys).withColumn(
-        "__piece", piece_number(F.col(value), F.col("__points"))).drop("__points")
+        "__piece", piece_number(F.col(value), F.col("__points"), len(probs))).drop("__points")
     counted = tagged.groupBy(*keys, "__piece").agg(F.sum("__w").alias("__m"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     places = [(F.col("__n") - 1) * F.lit(float(p)) for p in quantiles.values()]

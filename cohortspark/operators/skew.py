@@ -10,6 +10,7 @@ hot keys x pieces) are added afterwards. Results are the same in both plans.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,8 +27,7 @@ class SkewPolicy:
 
     task_rows: int = 1_000_000     # rows of one group that one task may hold
     hot_keys: int = 10_000         # at most this many keys can count as hot
-    pieces: int = 64               # cut points per hot key
-    accuracy: int = 10_000         # of the approximate cut points
+    accuracy: int = 10_000         # of the approximate cut points, at least
     broadcast_rows: int = 100_000  # rows of a checked broadcast side
 
     def hot_limit(self, total: int) -> int:
@@ -148,55 +148,84 @@ def _scan(df, keys, order, running, previous, totals):
 def _cut_hot_keys(df, keys, order, limit, policy):
     """Add piece numbers that rise with the order inside each hot key.
 
-    A single heavy value is a piece of its own and is cut again by the next
-    order column. No column is added when no key is hot.
+    Pieces hold about half of ``limit`` rows, so a larger key gets more of
+    them. A single heavy value is a piece of its own and is cut again by the
+    next order column. No column is added when no key is hot.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     group, pieces, out = list(keys), [], df
-    probs = [(i + 1) / (policy.pieces + 1) for i in range(policy.pieces)]
     for name in order:
         if not isinstance(kinds[name], _ORDERED):
             break
         source = out if not pieces else out.filter(F.col("__hot") & (F.col(pieces[-1]) % 2 == 1))
-        hot = (
-            source.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") > limit).select(*group)
-        )
-        points = cut_points(source, group, name, hot, probs, policy)
-        if points.isEmpty():
+        points, most = _even_points(source, group, name, limit, policy)
+        if most == 0:
             break
         piece = f"__piece{len(pieces)}"
-        out = out.join(F.broadcast(points), group, "left")
+        out = out.join(F.broadcast(points.drop("__heavy")), group, "left")
         if not pieces:
             out = out.withColumn("__hot", F.col("__points").isNotNull())
-        out = out.withColumn(piece, piece_number(F.col(name), F.col("__points"))).drop("__points")
+        out = out.withColumn(piece, piece_number(F.col(name), F.col("__points"), most)).drop("__points")
         pieces.append(piece)
         group.append(piece)
+        if points.filter("__heavy").isEmpty():
+            break
     return out, pieces
 
 
-def cut_points(df, keys, name, hot, probs, policy):
+def _even_points(df, keys, name, limit, policy):
+    """Cut points per hot key about half of ``limit`` rows apart.
+
+    Returns at most ``hot_keys`` rows whose arrays have at most
+    ``2 * hot_keys`` elements in all, and the length of the longest array.
+    ``__heavy`` marks keys where one value, or NULL, may exceed ``limit``:
+    such a value covers two neighbouring quantiles.
+    """
+    sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit))
+    largest = sizes.agg(F.max("__n")).first()[0]
+    if largest is None:
+        return None, 0
+    most = math.ceil(2 * largest / limit)
+    probs = [(i + 1) / (most + 1) for i in range(most)]
+    found = cut_points(df, keys, name, sizes, probs, max(policy.accuracy, 10 * most))
+    own = F.ceil(F.col("__n") * 2 / limit)
+    stride = F.greatest(F.lit(1), F.floor(F.lit(most) / own)).cast("int")
+    distinct = F.array_distinct("__points")
+    heavy = (F.size(distinct) < F.size("__points")) | (F.col("__nulls") > limit)
+    kept = F.array_distinct(F.filter("__points", lambda _, i: (i + 1) % stride == 0))
+    return cut(found.select(*keys, kept.alias("__points"), heavy.alias("__heavy"))), most
+
+
+def cut_points(df, keys, name, hot, probs, accuracy):
     """Approximate quantiles of a column for each hot key, evaluated once.
 
-    At most ``hot_keys`` short arrays in a column ``__points``.
+    ``hot`` has at most ``hot_keys`` rows; its other columns are kept.
     """
     kind = next(f.dataType for f in df.schema.fields if f.name == name)
-    marks = F.percentile_approx(name, probs, policy.accuracy)
+    marks = F.percentile_approx(name, probs, accuracy)
     no_marks = F.array().cast(T.ArrayType(kind))
-    return cut(
-        df.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys)
-        .agg(F.array_distinct(F.coalesce(marks, no_marks)).alias("__points"))
+    found = (
+        df.join(F.broadcast(hot.select(*keys)), keys, "left_semi").groupBy(*keys)
+        .agg(F.coalesce(marks, no_marks).alias("__points"), F.count_if(F.col(name).isNull()).alias("__nulls"))
     )
+    return cut(found.join(F.broadcast(hot), keys))
 
 
-def piece_number(value: Column, points: Column) -> Column:
-    """0 without cut points, odd on a cut point, even between two, odd for NULL."""
-    below = F.size(F.filter(points, lambda p: p < value))
-    at = F.array_contains(points, value).cast("int")
+def piece_number(value: Column, points: Column, most: int) -> Column:
+    """0 without cut points, odd on a cut point, even between two, odd for NULL.
+
+    ``points`` is sorted and distinct with at most ``most`` elements; the
+    number of points below the value is found by halving steps.
+    """
+    steps = [F.lit(2**i) for i in reversed(range(max(1, most.bit_length())))]
+    below = F.aggregate(
+        F.array(*steps), F.lit(0),
+        lambda at, step: F.when(F.get(points, at + step - 1) < value, at + step).otherwise(at))
     return (
         F.when(points.isNull(), 0)
         .when(value.isNull(), 2 * F.size(points) + 1)
-        .otherwise(2 * below + at)
+        .otherwise(F.transform(
+            F.array(below), lambda at: 2 * at + F.coalesce(F.get(points, at) == value, F.lit(False)).cast("int"))[0])
     )
 
 

@@ -13,7 +13,7 @@ from cohortspark.plans.registry import register, rounded
 from cohortspark.sources.tables import table
 
 # A policy that treats ordinary customers as hot, so that the balanced plans run.
-SMALL_TASKS = SkewPolicy(task_rows=15, hot_keys=1_000_000, pieces=4, accuracy=1000)
+SMALL_TASKS = SkewPolicy(task_rows=15, hot_keys=1_000_000, accuracy=1000)
 
 
 def order_rows(spark, sf):

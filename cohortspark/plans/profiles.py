@@ -17,7 +17,7 @@ from cohortspark.plans.registry import register, rounded
 from cohortspark.session import cut
 from cohortspark.sources.tables import table
 
-SMALL_TASKS = SkewPolicy(task_rows=200, hot_keys=1_000_000, pieces=8, accuracy=1000)
+SMALL_TASKS = SkewPolicy(task_rows=200, hot_keys=1_000_000, accuracy=1000)
 
 
 @register("missingness_profile", f"""WITH {MODEL_LONG} SELECT variable,

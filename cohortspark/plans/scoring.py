@@ -11,7 +11,7 @@ from cohortspark.plans.cohort import CATEGORY_SQL, interval_categories
 from cohortspark.plans.registry import register, rounded
 from cohortspark.sources.tables import table
 
-SMALL_TASKS = SkewPolicy(task_rows=20, hot_keys=1_000_000, pieces=6, accuracy=1000)
+SMALL_TASKS = SkewPolicy(task_rows=20, hot_keys=1_000_000, accuracy=1000)
 
 FOLD_SQL = """WITH f AS (SELECT doc_id, quality, toxic, CAST((ROW_NUMBER() OVER (
   {part} ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels)"""

@@ -15,7 +15,7 @@ from cohortspark.operators.quantiles import grouped_summary
 from cohortspark.operators.sequence import event_gaps
 from cohortspark.operators.skew import SkewPolicy, attach, ordered_scan
 
-TINY = SkewPolicy(task_rows=40, hot_keys=1_000_000, pieces=5, accuracy=500, broadcast_rows=3)
+TINY = SkewPolicy(task_rows=40, hot_keys=1_000_000, accuracy=500, broadcast_rows=3)
 
 
 @pytest.fixture(scope="module")
