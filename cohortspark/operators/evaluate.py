@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixed_values as fv
 from cohortspark.operators.quantiles import grouped_summary
+from cohortspark.operators.reshape import to_wide_many
 from cohortspark.operators.skew import POLICY, SkewPolicy, attach, ordered_scan, rows_of
 from cohortspark.session import cut
 
@@ -226,9 +227,7 @@ def margins(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def metric_table(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Metric rows to one row per key with mean and standard error columns."""
-    return rows.groupBy(*keys).pivot("metric", metrics).agg(
-        F.first("mean", ignorenulls=True).alias("mean"),
-        F.first("std_err", ignorenulls=True).alias("std_err"))
+    return to_wide_many(rows, keys, "metric", metrics, ["mean", "std_err"])
 
 
 def compare_models(rows: DataFrame) -> DataFrame:

@@ -116,7 +116,8 @@ def ward(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_events(spark: SparkSession, sf: str) -> DataFrame:
     """The first purchase of each user."""
-    purchases = ward(spark, sf).filter(F.col("item_name") == "purchase")
+    purchases = ward(spark, sf).filter(F.col("item_name") == "purchase").select(
+        "subject_id", "event_id", "chart_time")
     first = first_events(purchases, "subject_id", "chart_time", "event_id")
     return first.select("subject_id", F.col("event_id").alias("op_id"),
                         F.col("chart_time").alias("orin_time"))

@@ -14,6 +14,7 @@ from cohortspark.plans.inputs import (
     lab_rows, labs, model_table, operations, preop_rows, ward,
 )
 from cohortspark.plans.registry import register, rounded
+from cohortspark.session import cut
 from cohortspark.sources.tables import table
 
 # A policy that treats ordinary customers as hot, so that the salted join runs.
@@ -162,9 +163,9 @@ def facts(spark, sf):
     return ward(spark, sf).withColumn("value", F.col("value") / 25)
 
 
-def measures(spark, sf, **options):
+def measures(spark, sf, index, **options):
     return outcomes.outcome_measures(
-        index_events(spark, sf), facts(spark, sf), "subject_id", anchor="orin_time", time="chart_time",
+        index, facts(spark, sf), "subject_id", anchor="orin_time", time="chart_time",
         item="item_name", value="value", creatinine="view", troponin="signup", support="error",
         support_on=F.col("value") > 1.2, row_bound=event_rows(spark, sf), **options)
 
@@ -173,7 +174,7 @@ def measures(spark, sf, **options):
 SELECT subject_id, ROUND(delta_cr, 6) AS delta_cr, ROUND(ratio_cr, 6) AS ratio_cr,
   AKI_stage1, AKI_stage2, AKI_stage3, AKI_any, AKI_stage FROM aki""")
 def delta_ratio_stage(spark, sf):
-    known = measures(spark, sf).filter(F.col("baseline_known") & (F.col("n_cr_postop") > 0))
+    known = measures(spark, sf, index_events(spark, sf)).filter(F.col("baseline_known") & (F.col("n_cr_postop") > 0))
     out = known.select("subject_id", *[
         e.alias(n) for n, e in derive.aki_columns(F.col("baseline_cr"), F.col("peak_cr")).items()])
     return rounded(out, 6, "delta_cr", "ratio_cr")
@@ -203,15 +204,16 @@ DEATH = """death AS (SELECT subject_id, MIN(chart_time) AS death_time FROM ward
   LEFT JOIN death d ON i.subject_id = d.subject_id LEFT JOIN admit a ON i.subject_id = a.subject_id)"""
 
 
-def cohort(spark, sf):
+def cohort(spark, sf, index=None):
     """Index events with a death and an admission time, many of them NULL."""
+    index = index_events(spark, sf) if index is None else index
     rows = ward(spark, sf)
     death = (F.col("item_name") == "error") & (F.col("value") > 120)
     admit = (F.col("item_name") == "click") & (F.col("value") > 150)
     times = rows.filter(F.col("item_name").isin("error", "click")).groupBy("subject_id").agg(
         F.min(F.when(death, F.col("chart_time"))).alias("death_time"),
         F.max(F.when(admit, F.col("chart_time"))).alias("icuin_time"))
-    return index_events(spark, sf).drop("op_id").join(times, "subject_id", "left")
+    return index.drop("op_id").join(times, "subject_id", "left")
 
 
 def death_flag(spark, sf, inclusive):
@@ -252,8 +254,9 @@ COMPOSITE = f"""{WARD}, {KIDNEY}, {DEATH}, heart AS (
 
 def outcome_table(spark, sf, **options):
     flag = derive.within_days(F.col("death_time"), F.col("orin_time"), 10, inclusive=True)
-    base = cohort(spark, sf).withColumn("death_30d", flag)
-    return outcomes.outcome_flags(base, measures(spark, sf, **options), "subject_id",
+    index = cut(index_events(spark, sf))
+    base = cohort(spark, sf, index).withColumn("death_30d", flag)
+    return outcomes.outcome_flags(base, measures(spark, sf, index, **options), "subject_id",
                                   death="death_30d", troponin_limit=4)
 
 
