@@ -13,36 +13,45 @@ from cohortspark.operators.skew import POLICY, SkewPolicy
 
 def outcome_measures(
     index: DataFrame, facts: DataFrame, key: str, *, anchor: str, time: str, item: str, value: str,
-    creatinine: str, troponin: str, support: str, support_on: Column,
+    creatinine: str, troponin: str, clock: str | None = None,
+    support: str | None = None, support_on: Column | None = None,
+    start_days: float = -fv.LOOKBACK_DAYS, end_days: float = fv.LOOKAHEAD_DAYS,
     row_bound: int | None = None, policy: SkewPolicy = POLICY,
 ) -> DataFrame:
     """Baseline, peaks and last support hour per subject.
 
     The windows before and after the index share one join and one aggregate
-    instead of one join per outcome.
+    instead of one join per outcome. Rows before or at ``anchor`` can be the
+    baseline, later ones the peaks; the 90 days back and 7 days ahead are
+    counted from ``clock``, a column of ``index`` that defaults to the anchor.
     """
+    clock = clock or anchor
+    items = [creatinine, troponin] + ([support] if support else [])
     rows = measurements_in_window(
-        index.select(key, anchor), facts, key, anchor=anchor, time=time, item=item,
-        items=[creatinine, troponin, support], value=value,
-        start_days=-fv.BASELINE_DAYS, end_days=fv.PEAK_DAYS, closed="both",
+        index.select(*dict.fromkeys([key, anchor, clock])), facts, key, anchor=anchor, time=time,
+        item=item, items=items, value=value, start_days=start_days, end_days=end_days, closed="both",
         row_bound=row_bound, policy=policy,
     )
     v, what = F.col(value), F.col(item)
-    days_before = (F.col(anchor) - F.col(time)) / F.lit(fv.MINUTES_PER_DAY)
+    days_before = (F.col(clock) - F.col(time)) / F.lit(fv.MINUTES_PER_DAY)
     hour = (F.col(time) - F.col(anchor)) / F.lit(fv.MINUTES_PER_HOUR)
     after = F.col(time) > F.col(anchor)
-    base = (what == creatinine) & ~after
-    peak = (what == creatinine) & after
-    heart = (what == troponin) & after
+    soon = after & days_before.between(-fv.PEAK_DAYS, 0)
+    base = (what == creatinine) & ~after & days_before.between(0, fv.BASELINE_DAYS)
+    peak = (what == creatinine) & soon
+    heart = (what == troponin) & soon
     known = F.count(F.when(peak, v)) == F.count_if(peak)
     picked = F.struct(v.alias("value"), days_before.alias("days"))
+    last = F.lit(None).cast("double")
+    if support:
+        last = F.max(F.when((what == support) & soon & support_on, hour))
     out = rows.groupBy(key).agg(
         F.min_by(picked, F.when(base, F.struct(days_before, v))).alias("__base"),
         F.when(known, F.max(F.when(peak, v))).alias("peak_cr"),
         F.count_if(peak).alias("n_cr_postop"),
         F.max(F.when(heart, v)).alias("peak_troponin"),
         F.count(F.when(heart, v)).alias("n_troponin"),
-        F.max(F.when((what == support) & after & support_on, hour)).alias("max_vent_hr"),
+        last.alias("max_vent_hr"),
     )
     return out.withColumns({
         "baseline_known": F.col("__base").isNotNull(),
