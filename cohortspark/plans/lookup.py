@@ -67,7 +67,8 @@ SELECT item_name, COUNT(*) AS n_measurements, COUNT(DISTINCT subject_id) AS n_pa
   ROUND(COUNT(*) * 1.0 / COUNT(DISTINCT subject_id), 6) AS measurements_per_patient
 FROM look GROUP BY item_name""")
 def item_coverage(spark, sf):
-    out = lookups.item_coverage(preop_rows(spark, sf), "item_name", "subject_id", first_operations(spark, sf))
+    index = cut(first_operations(spark, sf))
+    out = lookups.item_coverage(preop_rows(spark, sf, index), "item_name", "subject_id", index)
     return rounded(out, 6, "pct_coverage", "measurements_per_patient")
 
 
