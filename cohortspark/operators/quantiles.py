@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.skew import (
-    POLICY, SkewPolicy, cut_points, known_keys, ordered_scan, piece_number, rows_of,
+    POLICY, SkewPolicy, cut_points, known_keys, ordered_scan, rows_of,
 )
 from cohortspark.session import cut
 
@@ -77,13 +80,16 @@ def _large_quantiles(df, groups, value, quantiles, weight, total, policy):
 
 
 def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
+    v = F.col(value)
     # counted inputs have no rank of their own before the counts are added up
-    probs = _around(quantiles.values(), policy) if weight is None else [i / 64 for i in range(1, 64)]
-    points = cut_points(rows, keys, value, hot.select(*keys), probs, policy.accuracy).select(
-        *keys, F.array_distinct("__points").alias("__points"))
+    probs = _around(quantiles.values(), policy) if weight is None else [i / 16 for i in range(1, 16)]
+    points = cut_points(rows, keys, value, hot.select(*keys), probs, policy.accuracy)
+    marks = [f"__p{i}" for i in range(len(probs))]
+    points = points.select(*keys, *[F.col("__points")[i].alias(m) for i, m in enumerate(marks)])
+    # rises with the value and is the same only for values between the same points
+    piece = reduce(add, [(v > F.col(m)).cast("int") + (v >= F.col(m)).cast("int") for m in marks])
     # at most hot_keys rows on the broadcast side
-    tagged = rows.join(F.broadcast(points), keys).withColumn(
-        "__piece", piece_number(F.col(value), F.col("__points"), len(probs))).drop("__points")
+    tagged = rows.join(F.broadcast(points), keys).withColumn("__piece", piece).drop(*marks)
     counted = tagged.groupBy(*keys, "__piece").agg(F.sum("__w").alias("__m"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     places = [(F.col("__n") - 1) * F.lit(float(p)) for p in quantiles.values()]
@@ -99,7 +105,7 @@ def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
     by = [*keys, "__piece"]
     values = cut(
         tagged.join(F.broadcast(needed), by)
-        .groupBy(*dict.fromkeys([*groups, *by, "__start", "__n"]), F.col(value).alias("__v"))
+        .groupBy(*dict.fromkeys([*groups, *by, "__start", "__n"]), v.alias("__v"))
         .agg(F.sum("__w").alias("__c")))
     scan = ordered_scan(values, by, ["__v"], running={"__upto": F.col("__c")}, policy=policy)
     upto = start + F.col("__upto")
