@@ -172,7 +172,9 @@ def group_histogram(df: DataFrame, groups: list[str], value: str, bins: int) ->
         .agg(F.count(F.lit(1)).alias("n"))
     )
     total = F.sum("n").over(Window.partitionBy(*groups))
-    return counts.select(*groups, "bin", "n", F.try_divide(F.col("n").cast("double"), total * F.col("__width")).alias("density"))
+    return counts.select(
+        *groups, "bin", "n",
+        F.try_divide(F.col("n").cast("double"), total * F.col("__width")).alias("density"))
 
 
 def kde(df: DataFrame, value: str, low: float, high: float, *, bins: int, points: int,

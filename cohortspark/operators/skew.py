@@ -106,7 +106,8 @@ def known_keys(
 ) -> tuple[DataFrame, list[str], list[str]]:
     """Key columns that are never NULL, so that rows of a NULL key join and spread.
 
-    Keys declared not NULL are used as they are if ``declared`` is set. Returns the table, the columns to group and join by, and the added ones.
+    Keys declared not NULL are used as they are if ``declared`` is set. Returns
+    the table, the columns to group and join by, and the added ones.
     """
     if not keys:
         return df.withColumn("__all", F.lit(0)), ["__all"], ["__all"]

@@ -12,7 +12,7 @@ from cohortspark.operators import profile, reshape
 from cohortspark.operators.clean import by_prefix
 from cohortspark.operators.skew import SkewPolicy
 from cohortspark.plans.cohort import GAPS, gaps, order_rows
-from cohortspark.plans.inputs import MODEL, MODEL_LONG, WIDE, event_rows, model_table
+from cohortspark.plans.inputs import MODEL_LONG, WIDE, event_rows, model_table
 from cohortspark.plans.registry import register, rounded
 from cohortspark.session import cut
 from cohortspark.sources.tables import table

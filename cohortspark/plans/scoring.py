@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspark import fixed_values as fv
 from cohortspark.operators import evaluate, folds, models, reshape
 from cohortspark.operators.skew import SkewPolicy
 from cohortspark.plans.cohort import CATEGORY_SQL, interval_categories
@@ -88,7 +87,8 @@ def rank_sql(groups: str) -> str:
 
 def pr_sql(groups: str, start: str, source: str = "scored") -> str:
     first = "1.0" if start == "one" else "tp * 1.0 / (tp + fp)"
-    return f"""curve AS (SELECT {groups}, score, SUM(y) AS pos, SUM(1 - y) AS neg FROM {source} GROUP BY {groups}, score), cum AS (
+    return f"""curve AS (
+  SELECT {groups}, score, SUM(y) AS pos, SUM(1 - y) AS neg FROM {source} GROUP BY {groups}, score), cum AS (
   SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY {groups}) AS p
   FROM curve WINDOW w AS (PARTITION BY {groups} ORDER BY score DESC)), pr AS (
   SELECT {groups}, SUM(pos * 1.0 / NULLIF(p, 0) * (CASE WHEN tp + fp = pos + neg THEN {first}
@@ -151,7 +151,8 @@ def metrics(spark, sf):
     return evaluate.across_folds(by_fold(spark, sf), ["model", "metric"])
 
 
-@register("metrics_across_folds", f"{BY_FOLD} SELECT model, metric, ROUND(mean, 9) AS mean, ROUND(std_err, 9) AS std_err FROM agg")
+@register("metrics_across_folds", f"""{BY_FOLD}
+SELECT model, metric, ROUND(mean, 9) AS mean, ROUND(std_err, 9) AS std_err FROM agg""")
 def metrics_across_folds(spark, sf):
     return rounded(evaluate.compare_models(metrics(spark, sf)), 9, "mean", "std_err")
 
@@ -183,7 +184,8 @@ def gains(spark, sf):
     return evaluate.incremental_gain(auc, "model", "lang", "roc_auc")
 
 
-@register("incremental_gain", f"{GAIN} SELECT model, lang, ROUND(roc_auc, 9) AS roc_auc, ROUND(delta, 9) AS delta FROM steps")
+@register("incremental_gain", f"""{GAIN}
+SELECT model, lang, ROUND(roc_auc, 9) AS roc_auc, ROUND(delta, 9) AS delta FROM steps""")
 def incremental_gain(spark, sf):
     return rounded(gains(spark, sf), 9, "roc_auc", "delta")
 
