@@ -69,9 +69,9 @@ DROPS_LEVEL = {"LR (glm)"}
 
 
 def feature_table(df: DataFrame, row_id: str, label: str, inputs: list[str]) -> DataFrame:
-    """The columns all runs need, written once to the shared folder."""
+    """The columns all runs need, written once with one folder per fold."""
     kept = [row_id, label, "fold"] + [c for c in present(df, inputs) if c not in (row_id, label, "fold")]
-    return cut(df.select(*dict.fromkeys(kept)))
+    return cut(df.select(*dict.fromkeys(kept)), partition_by="fold")
 
 
 def cross_validate(

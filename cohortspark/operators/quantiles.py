@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.skew import (
-    POLICY, SkewPolicy, cut_points, known_keys, ordered_scan, rows_of,
+    POLICY, SkewPolicy, beside, cut_points, known_keys, ordered_scan, rows_of,
 )
 from cohortspark.session import cut
 
@@ -47,6 +47,8 @@ def grouped_summary(
         df = cut(df.select(*groups, value, *([weight] if weight else [])))
     picked = _large_quantiles(df, groups, value, quantiles, weight, total, policy)
     base = df.groupBy(*groups).agg(*(plain or [F.count(F.lit(1)).alias("__rows")]))
+    if not groups:
+        return beside(base, picked, ["__all"]).select(*aggregates, *quantiles)
     base, on, _ = known_keys(base, groups, declared=False)
     picked, _, _ = known_keys(picked, groups, declared=False)
     return base.join(picked.drop(*groups), on, "left").select(*groups, *aggregates, *quantiles)
@@ -89,7 +91,7 @@ def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
     # rises with the value and is the same only for values between the same points
     piece = reduce(add, [(v > F.col(m)).cast("int") + (v >= F.col(m)).cast("int") for m in marks])
     # at most hot_keys rows on the broadcast side
-    tagged = rows.join(F.broadcast(points), keys).withColumn("__piece", piece).drop(*marks)
+    tagged = beside(rows, points, keys, "inner").withColumn("__piece", piece).drop(*marks)
     counted = tagged.groupBy(*keys, "__piece").agg(F.sum("__w").alias("__m"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     places = [(F.col("__n") - 1) * F.lit(float(p)) for p in quantiles.values()]
@@ -100,8 +102,8 @@ def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
             wanted = wanted | ((start <= rank) & (rank < start + F.col("__m")))
     # a few pieces per hot key
     needed = cut(
-        counted.withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0)))
-        .join(F.broadcast(hot), keys).filter(wanted).select(*keys, "__piece", "__start", "__n"))
+        beside(counted.withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0))), hot, keys, "inner")
+        .filter(wanted).select(*keys, "__piece", "__start", "__n"))
     by = [*keys, "__piece"]
     values = cut(
         tagged.join(F.broadcast(needed), by)

@@ -124,6 +124,14 @@ def known_keys(
     return df.withColumns(added), use, list(added)
 
 
+def beside(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Add the columns of a small table by key; without keys it is one row of values."""
+    if keys == ["__all"]:
+        rest = [c for c in side.columns if c not in keys]
+        return df.withColumns({c: side.select(c).scalar() for c in rest})
+    return df.join(F.broadcast(side), keys, how)
+
+
 def _blank(kind):
     if isinstance(kind, T.StringType):
         return F.lit("")
@@ -163,7 +171,7 @@ def _cut_hot_keys(df, keys, order, limit, policy):
         if most == 0:
             break
         piece = f"__piece{len(pieces)}"
-        out = out.join(F.broadcast(points.drop("__heavy")), group, "left")
+        out = beside(out, points.drop("__heavy"), group)
         if not pieces:
             out = out.withColumn("__hot", F.col("__points").isNotNull())
         out = out.withColumn(piece, piece_number(F.col(name), F.col("__points"), most)).drop("__points")
@@ -200,16 +208,17 @@ def _even_points(df, keys, name, limit, policy):
 def cut_points(df, keys, name, hot, probs, accuracy):
     """Approximate quantiles of a column for each hot key, evaluated once.
 
-    ``hot`` has at most ``hot_keys`` rows; its other columns are kept.
+    ``hot`` has at most ``hot_keys`` rows, at least one; its other columns are
+    kept.
     """
     kind = next(f.dataType for f in df.schema.fields if f.name == name)
     marks = F.percentile_approx(name, probs, accuracy)
     no_marks = F.array().cast(T.ArrayType(kind))
-    found = (
-        df.join(F.broadcast(hot.select(*keys)), keys, "left_semi").groupBy(*keys)
-        .agg(F.coalesce(marks, no_marks).alias("__points"), F.count_if(F.col(name).isNull()).alias("__nulls"))
-    )
-    return cut(found.join(F.broadcast(hot), keys))
+    if keys != ["__all"]:
+        df = df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+    found = df.groupBy(*keys).agg(
+        F.coalesce(marks, no_marks).alias("__points"), F.count_if(F.col(name).isNull()).alias("__nulls"))
+    return cut(beside(found, hot, keys))
 
 
 def piece_number(value: Column, points: Column, most: int) -> Column:

@@ -310,7 +310,11 @@ def typed_and_relabelled(spark, sf):
     return clean.yes_no(df, "outcome").withColumn("priority", scalar.strip_prefix(F.col("priority"), "level_"))
 
 
-@register("display_columns")
+@register("display_columns", f"""WITH c AS ({CATEGORY_SQL}) SELECT interval_category,
+  format('{{:,}}', n_intervals) AS n_text, printf('%.1f%%', percentage) AS pct_text,
+  printf('%.2f (%.2f)', percentage, percentage) AS mean_sd,
+  CASE WHEN percentage < 0.1 THEN printf('%.2e', percentage / 100) ELSE printf('%.3f', percentage / 100) END AS p_text
+FROM c""")
 def display_columns(spark, sf):
     table_ = interval_categories(spark, sf)
     return table_.select(

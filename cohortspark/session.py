@@ -43,11 +43,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Evaluate once: write a table to the shared folder and read it back.
 
     Later plans start from the written table, whichever executors are lost.
+    ``partition_by`` lays rows out in one folder per value of a column with
+    few values, so that filters on it skip folders.
     """
     path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
