@@ -37,8 +37,9 @@ def column_profile(df: DataFrame, columns: list[str], quantiles: dict[str, float
                    row_bound: int | None = None, policy: SkewPolicy = POLICY) -> DataFrame:
     """One row per column: counts, missingness, moments and quantiles.
 
-    The columns are read once as (variable, value) rows and grouped by
-    variable, so the number of jobs does not grow with columns or statistics.
+    The columns are read as (variable, value) rows and grouped by variable, so
+    the number of jobs does not grow with columns or statistics. Large inputs
+    are read several times; pass a written table if the plan is costly.
     """
     bound = None if row_bound is None else row_bound * len(columns)
     stats = {**basic("value"), "n_missing": F.count_if(F.col("value").isNull()),

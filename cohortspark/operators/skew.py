@@ -318,11 +318,14 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], *, row_bound: int |
 
     The statistics are evaluated once and counted. Few rows are broadcast, so
     the row side is not shuffled; with more rows the groups are shuffled and
-    hot ones are spread by salt.
+    hot ones are spread by salt. NULL is a group like any other.
     """
     stats = cut(stats)
+    few, on, _ = known_keys(stats, keys, declared=False)
+    many, _, added = known_keys(df, keys, declared=False)
+    few = few.drop(*[k for k in keys if k not in on])
     if stats.count() <= policy.broadcast_rows:
-        return df.join(F.broadcast(stats), keys, "left")
+        return many.join(F.broadcast(few), on, "left").drop(*added)
     rest = [c for c in df.columns if c not in keys]
-    few, many, on = _salted(stats, df, keys, rest, rows_of(df, row_bound), policy)
-    return many.join(few, on, "left").drop("__salt")
+    few, many, on = _salted(few, many, on, rest, rows_of(df, row_bound), policy)
+    return many.join(few, on, "left").drop("__salt", *added)

@@ -119,7 +119,7 @@ def interval_summary(spark, sf):
 @register("interval_summary_balanced", SUMMARY_SQL)
 def interval_summary_balanced(spark, sf):
     out = profile.interval_summary(gaps(spark, sf), "days_since_prev", row_bound=order_rows(spark, sf),
-                                   policy=SMALL_TASKS)
+                                   policy=SkewPolicy(task_rows=500, accuracy=1000))
     return rounded(out, 6, *SUMMARY_NUMBERS)
 
 

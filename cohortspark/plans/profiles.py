@@ -46,7 +46,8 @@ def wide_profile(spark, sf):
 
 @register("wide_profile_balanced", PROFILE_SQL)
 def wide_profile_balanced(spark, sf):
-    out = profile.column_profile(model_table(spark, sf), WIDE, row_bound=order_rows(spark, sf), policy=SMALL_TASKS)
+    rows = cut(model_table(spark, sf))
+    out = profile.column_profile(rows, WIDE, row_bound=order_rows(spark, sf), policy=SMALL_TASKS)
     return rounded(out, 6, *PROFILE_NUMBERS)
 
 

@@ -194,6 +194,15 @@ def test_constant_and_single_groups(spark):
     assert sum(r["n"] for r in histogram) == 3
 
 
+def test_null_is_a_group_of_its_own(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 5.0)], "g string, v double")
+    rows = profile.z_scores(df, ["g"], "v").collect()
+    assert sorted(round(r["z_score"], 6) for r in rows if r["g"] is None) == [-0.707107, 0.707107]
+    assert {r["median_val"] for r in rows} == {2.0, 5.0} and rows[0].asDict().keys() == {"g", "v", "median_val", "z_score"}
+    counts = {r["g"]: r["n"] for r in profile.outlier_counts(df, ["g"], "v").collect()}
+    assert counts == {None: 2, "a": 2}
+
+
 def test_histogram_is_a_density(spark):
     df = spark.createDataFrame([(float(x),) for x in (-1, 0, 1, 5, 9, 10, 11)], "v double")
     rows = profile.histogram(df, "v", 0.0, 10.0, 5).collect()

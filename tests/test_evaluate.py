@@ -119,6 +119,12 @@ def test_recipe_learns_from_training_rows_only(table):
     assert prep.column_sample_count(21, 0.8) == 16 and prep.column_sample_count(1, 0.8) == 1
 
 
+def test_recipe_without_usable_input_says_so(table):
+    recipe = prep.fit_recipe(table, ["same", "absent"], [])
+    with pytest.raises(ValueError, match="constant or absent"):
+        recipe.apply(table, ["id"])
+
+
 def newton(x, y):
     beta = np.zeros(x.shape[1])
     for _ in range(30):
