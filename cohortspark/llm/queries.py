@@ -1,6 +1,6 @@
 """All queries of the subpackage, registered by importing their modules."""
 
-from cohortspark.llm import mixing, packing, sharding, token_counts, url_rules  # noqa: F401
+from cohortspark.llm import mixing, packing, quality, secrets, sharding, token_counts, url_rules  # noqa: F401
 from cohortspark.llm.registry import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
