@@ -123,3 +123,25 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else np.float64)
     np.cumsum(values, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All spans one after another, and the offsets of each."""
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)
+    return data[index], offsets
+
+
+def joined(w: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words (those of ``keep``), each followed by one space, and the offsets of each word."""
+    starts, ends = (w.starts, w.ends) if keep is None else (w.starts[keep], w.ends[keep])
+    out, offsets = gathered(np.append(w.data, np.uint8(0x20)), starts, ends + 1)
+    out[offsets[1:] - 1] = 0x20
+    return out, offsets
+
+
+def binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Arrow column of the given byte spans, which may overlap."""
+    out, offsets = gathered(data, starts, ends)
+    return pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
