@@ -1,6 +1,8 @@
 """All queries of the subpackage, registered by importing their modules."""
 
-from cohortspark.llm import mixing, packing, quality, secrets, sharding, substrings, token_counts, url_rules  # noqa: F401
+from cohortspark.llm import (  # noqa: F401
+    mixing, near_copies, packing, quality, secrets, sharding, substrings, token_counts, url_rules, vectors,
+)  # noqa: F401
 from cohortspark.llm.registry import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
