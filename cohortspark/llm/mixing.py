@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cohortspark.llm.registry import register
-from cohortspark.llm.tables import WORD, numbered, table
-from cohortspark.session import cut
+from cohortspark.llm.tables import WORD, numbered, settled, table
 
 UNIT_BITS = 30          # expected copies are whole multiples of 2**-30, so that sums are exact
 WEIGHTS = (5, 2, 1)     # of the sources in order, repeating
@@ -38,7 +37,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """
     order = [F.col("source").isNull().asc(), F.col("source").asc()]
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    rows = cut(numbered(sizes, order).select(
+    rows = settled(numbered(sizes, order).select(
         "source", "source_size",
         F.element_at(cycle, (F.col("rank") % len(weights)).cast("int") + 1).alias("weight"),
         (F.col("source_size") * F.lit(float(most))).alias("ceiling")))
@@ -78,7 +77,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, seed: int = SEED, group_
     sized = docs.select(
         F.struct("*").alias("rec"), F.col("source").alias("k"), F.col("doc_id").alias("d"),
         (word_count(F.col("text")) if size is None else size).alias("size"))
-    narrow = cut(sized.select("k", "d", "size"))
+    narrow = settled(sized.select("k", "d", "size"))
     totals = narrow.groupBy("k").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     rows = totals.agg(F.sum("n")).first()[0] or 0
     spread = max(1, rows // group_rows)

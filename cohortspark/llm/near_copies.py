@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.registry import register
-from cohortspark.llm.tables import components, release, table
+from cohortspark.llm.tables import components, settled, table
 from cohortspark.llm.words import Words, chunks, mixed, span_hashes, split
-from cohortspark.session import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -184,26 +183,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     and none is made inside a class. Signatures rule most pairs out before the
     whole texts of the others meet. Every step is a written table.
     """
-    spark = docs.sparkSession
-    known = cut(cards(docs).where("doc_id IS NOT NULL AND k1 IS NOT NULL"))
-    nodes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
-    owner = cut(known.join(nodes.drop("sig"), ["k1", "k2"]).select("doc_id", "rep").distinct())
+    known = settled(cards(docs).where("doc_id IS NOT NULL AND k1 IS NOT NULL"))
+    nodes = settled(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
+    owner = settled(known.join(nodes.drop("sig"), ["k1", "k2"]).select("doc_id", "rep").distinct())
     sigs = nodes.select("rep", "sig")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
         b.alias("band"), F.substring("sig", b * ROWS + 1, F.lit(ROWS)).alias("key")))
     filed = sigs.select("rep", F.inline(bands))
     shared = filed.groupBy("band", "key").agg(
         F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    filed = cut(filed.join(shared, ["band", "key"]))
+    filed = settled(filed.join(shared, ["band", "key"]))
     asked = filed.select(F.col("rep").alias("r")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = settled(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
                 .join(asked, F.col("rep") == F.col("r"), "left_semi")
                 .withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).select("rep", "text"))
-    release(spark)
 
     # an id with several texts holds their classes together
     many = owner.groupBy("doc_id").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p <> q")
-    edges = cut(owner.join(many, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    edges = settled(owner.join(many, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = None
     for hub in ("least", "most", None):
         if hub is not None:
@@ -216,14 +213,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 "component", F.coalesce("component", "rep"))
             mixed_up = members.groupBy("band", "key").agg(
                 F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band", "key")
-            members = cut(members.join(mixed_up, ["band", "key"]))
+            members = settled(members.join(mixed_up, ["band", "key"]))
             other = members.select("band", "key", F.col("rep").alias("b"), F.col("component").alias("of"))
             pairs = members.join(other, ["band", "key"]).where("component <> of AND rep < b").select(
                 F.col("rep").alias("a"), "b").distinct()
-        new = cut(verified(likely(pairs, sigs, similarity), texts, similarity))
+        new = settled(verified(likely(pairs, sigs, similarity), texts, similarity))
         edges = edges.union(new)
         found = components(edges)
-        release(spark)
     of = F.coalesce("component", "rep")
     return owner.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(of).alias("class_id"))

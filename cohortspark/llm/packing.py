@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.registry import register
-from cohortspark.llm.tables import shuffle_partitions, table
+from cohortspark.llm.tables import settled, shuffle_partitions, table
 from cohortspark.llm.tokens import vocabulary
-from cohortspark.session import cut
 
 END = 0  # id that closes every document
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -123,7 +122,7 @@ def pack(docs: DataFrame, *, capacity: Capacity = Capacity(), group_pieces: int
     Other columns are not read. ``ranks`` is the path of the vocabulary.
     """
     spark = docs.sparkSession
-    found = cut(pieces(docs, capacity.longest, ranks))
+    found = settled(pieces(docs, capacity.longest, ranks))
     n = found.count()
     groups = max(1, -(-n // group_pieces), min(shuffle_partitions(spark), n // 2_000))
 

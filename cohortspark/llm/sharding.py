@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.registry import register
-from cohortspark.llm.tables import shuffle_partitions, table
-from cohortspark.session import cut
+from cohortspark.llm.tables import settled, shuffle_partitions, table
 
 SHARDS = 8
 SEED = 9
@@ -41,7 +40,7 @@ def shuffled(records: DataFrame, *, seed: int = SEED, bucket_rows: int = 50_000,
     mark = F.xxhash64(F.lit(seed), F.col("rec"), F.col("at"))
     filled = (held.select("rec", "at", F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket"))
               .groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("at", "rec"))).alias("records")))
-    written = cut(filled.repartitionById(buckets, F.col("bucket")).select(
+    written = settled(filled.repartitionById(buckets, F.col("bucket")).select(
         "bucket", F.size("records").alias("n"), F.shuffle("records", F.lit(seed)).alias("records")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written.select(  # one short row per bucket

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.registry import register
-from cohortspark.llm.tables import release, shuffle_partitions, table
-from cohortspark.llm.words import Words, binary, chunks, joined, per_text, split
-from cohortspark.session import cut
+from cohortspark.llm.tables import settled, shuffle_partitions, table
+from cohortspark.llm.words import Words, binary, chunks, joined, mixed, per_text, split
 
 WINDOW = 13
+ROUNDS = 2   # the buckets are worked through in so many parts, one after the other
 PACKED = "bucket long, doc_id long, place long, words binary"
 RUNS = "doc_id long, place long, n int"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -45,13 +46,16 @@ def minimisers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.minimum(least[at], least[at + k - reach])
 
 
-def super_kmers(rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+def super_kmers(rows: pa.RecordBatch, k: int, turn: int = 0, rounds: int = 1) -> pa.RecordBatch:
+    """Packed strings of the buckets whose turn it is."""
     w = split(rows.column("text"))
     at, least = minimisers(w, k)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1]) | (w.doc[at[1:]] != w.doc[at[:-1]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
+    own = mixed(least[first]) % np.uint64(rounds) == turn
+    first, last = first[own], last[own]
     text, offsets = joined(w)
     begin, stop = at[first], at[last] + k      # words of each packed string
     doc = w.doc[begin]
@@ -121,14 +125,12 @@ def kept_words(w: Words, places: pa.Array, sizes: pa.Array, k: int) -> np.ndarra
     return np.cumsum(cover[:-1]) == 0
 
 
-def repeated_runs(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, tag, places, sizes): runs of repeated windows of each text, as lists."""
-    spark = docs.sparkSession
-
+def repeated_runs(docs: DataFrame, k: int, turn: int, rounds: int) -> DataFrame:
+    """(doc_id, place, n): runs of repeated windows, of the buckets whose turn it is."""
     def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in chunks(batch, "text"):
-                yield super_kmers(rows, k)
+                yield super_kmers(rows, k, turn, rounds)
 
     def sorting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -137,10 +139,8 @@ def repeated_runs(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                 yield repeated(batch, k, seen)
 
     packed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(packing, PACKED)
-    dealt = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
-    found = dealt.mapInArrow(sorting, RUNS)
-    return found.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(
-        F.collect_list("place").alias("places"), F.collect_list("n").alias("sizes"))
+    dealt = packed.repartition(shuffle_partitions(docs.sparkSession), "bucket")
+    return dealt.sortWithinPartitions("bucket", "doc_id").mapInArrow(sorting, RUNS)
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def tagged(docs: DataFrame) -> DataFrame:
                        F.xxhash64("text").bitwiseAND(F.lit(TAG)).alias("tag"))
 
 
-def dedup(docs: DataFrame, k: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, k: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes when a window covering it also starts in a document with a
@@ -164,13 +164,15 @@ def dedup(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     A hot passage or group of copies has one packed string per document in a
     bucket, a small part of a document; a bucket is read as a sorted stream
     whose memory holds its distinct windows, not its rows. Sorting may spill.
-    The runs found are written before the texts are shuffled once, to meet them.
+    The packed strings are some three times the texts, so buckets are worked
+    through in ``rounds`` parts, each read from the input anew, and only one part lies on
+    the disks at a time. The runs found are written before the texts are
+    shuffled once, to meet them.
     """
-    spark = docs.sparkSession
     texts = tagged(docs)
-    runs = cut(repeated_runs(texts, k))
-    release(spark)
-    runs = runs.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "places", "sizes")
+    runs = reduce(DataFrame.union, [settled(repeated_runs(texts, k, turn, rounds)) for turn in range(rounds)])
+    runs = settled(runs.groupBy(F.col("doc_id").alias("d"), F.shiftright("place", 32).alias("t")).agg(
+        F.collect_list("place").alias("places"), F.collect_list("n").alias("sizes")))
     met = texts.join(runs, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left").select(
         "doc_id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"),
         F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +18,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans whose written result is in use.
+def settled(df: DataFrame) -> DataFrame:
+    """``cut`` that lets Spark remove the shuffle files behind the written table at once.
 
-    Shuffle files go when the driver has collected the objects that stand for
-    them; long before that they would fill the disks beside the next shuffle.
+    The table is the only thing read later, so files that led to it would only
+    fill the disks beside the next shuffle.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -38,7 +41,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     """
     n = shuffle_partitions(df.sparkSession)
     at = F.monotonically_increasing_id()
-    held = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at))
+    held = settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at))
     part = F.shiftright("_at", 33)
     sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,11 +61,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     is written to the shared folder. Nodes without an edge do not appear.
     Rows with a NULL end or ``a = b`` link nothing.
     """
-    links = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                 .where("a <> b").distinct())
     state = _digest(links)
     for _ in range(rounds):
-        links = cut(_star(_star(links, large=True), large=False))
+        links = settled(_star(_star(links, large=True), large=False))
         before, state = state, _digest(links)
         if state == before:
             break

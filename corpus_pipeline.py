@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.llm import mixing, near_copies, packing, quality, secrets
-from cohortspark.llm.tables import release, table
-from cohortspark.session import cut
+from cohortspark.llm.tables import settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -50,6 +49,5 @@ ORACLE_SQL = None  # a trained classifier, a trained network and seeded hashes d
 def run(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents")
     for _, stage in STAGES[:-1]:
-        rows = cut(stage(spark, rows, folder))
-        release(spark)
+        rows = settled(stage(spark, rows, folder))
     return STAGES[-1][1](spark, rows, folder)
