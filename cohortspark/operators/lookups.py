@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixed_values as fv
 from cohortspark.functions.scalar import strict_max
-from cohortspark.operators.skew import POLICY, SkewPolicy, balanced_join
+from cohortspark.operators.skew import POLICY, SkewPolicy, balanced_join, ordered_scan
 
 _LOWER = {"both": True, "left": True, "right": False, "neither": False}
 _UPPER = {"both": True, "left": False, "right": True, "neither": False}
@@ -79,6 +79,34 @@ def latest_wide(
     return rows.groupBy(*keys).agg(*[latest(name) for name in items])
 
 
+def asof_all(
+    anchors: DataFrame, facts: DataFrame, key: str, *, anchor: str, time: str, item: str, value: str,
+    items: list[str], days: float = fv.LOOKBACK_DAYS, prefix: str = "preop_",
+    row_bound: int | None = None, policy: SkewPolicy = POLICY,
+) -> DataFrame:
+    """Every anchor row with the latest value of each item up to it, at most ``days`` old.
+
+    Anchors and measurements are ordered together and read once, so the work
+    follows their rows and not their pairs, however many anchors a key has. A
+    measurement at the anchor's time counts; a latest value that is NULL stays
+    NULL; the larger value breaks ties of time. A NULL time matches nothing.
+    """
+    rest = [c for c in anchors.columns if c not in (key, anchor)]
+    mine = anchors.select(F.col(key), F.col(anchor).alias("__time"), F.lit(1).alias("__side"),
+                          F.struct(*rest).alias("__row"), F.xxhash64(*rest).alias("__tie"))
+    kinds = mine.schema["__row"].dataType
+    theirs = facts.filter(F.col(item).isin(items) & F.col(time).isNotNull()).select(
+        F.col(key), F.col(time).alias("__time"), F.lit(0).alias("__side"), F.lit(None).cast(kinds).alias("__row"),
+        F.xxhash64(item, value).alias("__tie"), F.col(item).alias("__item"), F.col(value).alias("__value"))
+    rows = mine.unionByName(theirs, allowMissingColumns=True)
+    seen = {f"__i{k}": F.when(F.col("__item") == name, F.struct("__time", "__value")) for k, name in enumerate(items)}
+    out = ordered_scan(rows, [key], ["__time", "__side", "__tie"], highest=seen, row_bound=row_bound, policy=policy)
+    oldest = F.col("__time") - F.lit(days * fv.MINUTES_PER_DAY)
+    latest = [F.when(F.col(f"__i{k}.__time") >= oldest, F.col(f"__i{k}.__value")).alias(prefix + name)
+              for k, name in enumerate(items)]
+    return out.filter("__side = 1").select(key, F.col("__time").alias(anchor), "__row.*", *latest)
+
+
 def nearest_before(
     rows: DataFrame, key: str, *, anchor: str, time: str, value: str,
     tolerance_days: float = fv.BASELINE_DAYS,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.skew import (
-    POLICY, SkewPolicy, beside, cut_points, known_keys, ordered_scan, rows_of,
+    POLICY, SkewPolicy, beside, cut_points, hinted, known_keys, ordered_scan, rows_of,
 )
 from cohortspark.session import cut
 
@@ -22,7 +22,7 @@ def grouped_summary(
     aggregates: dict[str, Column] | None = None,
     *,
     weight: str | None = None,
-    reuse: bool = False,
+    reuse: bool = True,
     row_bound: int | None = None,
     policy: SkewPolicy = POLICY,
 ) -> DataFrame:
@@ -32,23 +32,22 @@ def grouped_summary(
     it serves groups of at most ``task_rows`` rows. Larger groups are cut at
     approximate quantiles next to the wanted ones; exact counts of the pieces
     tell which pieces hold the wanted ranks, and only their rows are shuffled.
-    ``reuse`` writes groups and value once when ``df`` is costly, as large
-    inputs are read several times. ``weight`` names a column of whole counts
+    ``reuse`` writes groups and value once, as large inputs are read several
+    times; turn it off when ``df`` is a narrow written table already. ``weight`` names a column of whole counts
     for inputs that are already counted.
     """
     aggregates = aggregates or {}
     plain = [e.alias(n) for n, e in aggregates.items()]
-    total = rows_of(df, row_bound)
-    if total <= policy.task_rows:
+    if rows_of(df, row_bound) <= policy.task_rows:
         q = _percentile(value, weight, quantiles)
         out = df.groupBy(*groups).agg(*plain, q.alias("__q"))
         return out.select(*groups, *aggregates, *_named(quantiles))
     if reuse:
-        df = cut(df.select(*groups, value, *([weight] if weight else [])))
-    picked = _large_quantiles(df, groups, value, quantiles, weight, total, policy)
+        df = cut(df.select(*dict.fromkeys([*groups, value, *([weight] if weight else [])])))
+    picked = _large_quantiles(df, groups, value, quantiles, weight, policy)
     base = df.groupBy(*groups).agg(*(plain or [F.count(F.lit(1)).alias("__rows")]))
     if not groups:
-        return beside(base, picked, ["__all"]).select(*aggregates, *quantiles)
+        return beside(base, picked, ["__all"], 1, policy).select(*aggregates, *quantiles)
     base, on, _ = known_keys(base, groups, declared=False)
     picked, _, _ = known_keys(picked, groups, declared=False)
     return base.join(picked.drop(*groups), on, "left").select(*groups, *aggregates, *quantiles)
@@ -63,35 +62,34 @@ def _named(quantiles):
     return [F.col("__q")[i].alias(n) for i, n in enumerate(quantiles)]
 
 
-def _large_quantiles(df, groups, value, quantiles, weight, total, policy):
+def _large_quantiles(df, groups, value, quantiles, weight, policy):
     """Quantiles per group with known values; small groups by ``percentile``."""
     rows = df.filter(F.col(value).isNotNull()).withColumn(
         "__w", F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint"))
     rows, keys, _ = known_keys(rows, groups)
     sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.sum("__w").alias("__n")))
-    hot = sizes.filter(F.col("__rows") > policy.hot_limit(total)).drop("__rows")
+    hot = sizes.filter(F.col("__rows") > policy.task_rows).drop("__rows")
     n_hot, n_all = hot.count(), sizes.count()
     parts = []
     if n_hot < n_all or n_hot == 0:
-        cold = rows if n_hot == 0 else rows.join(F.broadcast(hot), keys, "left_anti")
+        cold = rows if n_hot == 0 else rows.join(hinted(hot, n_hot, policy), keys, "left_anti")
         q = _percentile(value, "__w", quantiles).alias("__q")
         parts.append(cold.groupBy(*groups).agg(q).select(*groups, *_named(quantiles)))
     if n_hot > 0:
-        parts.append(_hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy))
+        parts.append(_hot_quantiles(rows, keys, groups, value, quantiles, hot, n_hot, weight, policy))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
+def _hot_quantiles(rows, keys, groups, value, quantiles, hot, n_hot, weight, policy):
     v = F.col(value)
     # counted inputs have no rank of their own before the counts are added up
     probs = _around(quantiles.values(), policy) if weight is None else [i / 16 for i in range(1, 16)]
-    points = cut_points(rows, keys, value, hot.select(*keys), probs, policy.accuracy)
+    points = cut_points(rows, keys, value, hot.select(*keys), probs, policy.accuracy, n_hot, policy)
     marks = [f"__p{i}" for i in range(len(probs))]
     points = points.select(*keys, *[F.col("__points")[i].alias(m) for i, m in enumerate(marks)])
     # rises with the value and is the same only for values between the same points
     piece = reduce(add, [(v > F.col(m)).cast("int") + (v >= F.col(m)).cast("int") for m in marks])
-    # at most hot_keys rows on the broadcast side
-    tagged = beside(rows, points, keys, "inner").withColumn("__piece", piece).drop(*marks)
+    tagged = beside(rows, points, keys, n_hot, policy, "inner").withColumn("__piece", piece).drop(*marks)
     counted = tagged.groupBy(*keys, "__piece").agg(F.sum("__w").alias("__m"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     places = [(F.col("__n") - 1) * F.lit(float(p)) for p in quantiles.values()]
@@ -102,11 +100,11 @@ def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
             wanted = wanted | ((start <= rank) & (rank < start + F.col("__m")))
     # a few pieces per hot key
     needed = cut(
-        beside(counted.withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0))), hot, keys, "inner")
+        beside(counted.withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0))), hot, keys, n_hot, policy, "inner")
         .filter(wanted).select(*keys, "__piece", "__start", "__n"))
     by = [*keys, "__piece"]
     values = cut(
-        tagged.join(F.broadcast(needed), by)
+        tagged.join(hinted(needed, n_hot, policy), by)
         .groupBy(*dict.fromkeys([*groups, *by, "__start", "__n"]), v.alias("__v"))
         .agg(F.sum("__w").alias("__c")))
     scan = ordered_scan(values, by, ["__v"], running={"__upto": F.col("__c")}, policy=policy)
@@ -120,7 +118,8 @@ def _hot_quantiles(rows, keys, groups, value, quantiles, hot, weight, policy):
         picks += [pick(F.floor(place)).alias(f"__lo{i}"), pick(F.ceil(place)).alias(f"__hi{i}"),
                   F.max(place - F.floor(place)).alias(f"__f{i}")]
         low, high, part = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")
-        out.append(((1 - part) * low + part * high).alias(name))
+        # as the built-in does: no arithmetic on one value, which may be infinite
+        out.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
     return scan.groupBy(*groups).agg(*picks).select(*groups, *out)
 
 

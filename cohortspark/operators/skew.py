@@ -26,19 +26,15 @@ class SkewPolicy:
     """Sizes that decide between the short and the balanced plan."""
 
     task_rows: int = 1_000_000     # rows of one group that one task may hold
-    hot_keys: int = 10_000         # at most this many keys can count as hot
+    hot_keys: int = 10_000         # up to so many hot keys a broadcast side may hold
     accuracy: int = 10_000         # of the approximate cut points, at least
     broadcast_rows: int = 100_000  # rows of a checked broadcast side
 
-    def hot_limit(self, total: int) -> int:
-        """Rows above which a key is hot; at most ``hot_keys`` keys exceed it."""
-        return max(self.task_rows, total // self.hot_keys)
-
 
 POLICY = SkewPolicy()
 
 _ORDERED = (
-    T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType,
+    T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType,
 )
 
 
@@ -67,23 +63,24 @@ def ordered_scan(
     running: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
+    highest: dict[str, Column] | None = None,
     row_bound: int | None = None,
     policy: SkewPolicy = POLICY,
 ) -> DataFrame:
-    """Running sums, previous-row values and group totals in one ordered pass.
+    """Running sums, previous-row values, group totals and running maxima in one ordered pass.
 
-    ``running`` sums include the current row. ``order`` sorts ascending with
+    ``running`` sums and ``highest`` values include the current row. ``order`` sorts ascending with
     NULL last and must be unambiguous within a key. ``keys`` may be empty.
     """
-    running, previous, totals = running or {}, previous or {}, totals or {}
+    running, previous, totals, highest = running or {}, previous or {}, totals or {}, highest or {}
     total = rows_of(df, row_bound)
     if total > policy.task_rows:
         keyed, group, added = known_keys(df, keys)
-        tagged, pieces = _cut_hot_keys(keyed, group, order, policy.hot_limit(total), policy)
+        tagged, pieces = _cut_hot_keys(keyed, group, order, policy.task_rows, policy)
         if pieces:
-            out = _stitch(tagged, group, pieces, order, running, previous, totals, F.col("__hot"))
+            out = _stitch(tagged, group, pieces, order, running, previous, totals, F.col("__hot"), highest)
             return out.drop("__hot", *pieces, *added)
-    return _scan(df, keys, order, running, previous, totals)
+    return _scan(df, keys, order, running, previous, totals, highest)
 
 
 def scan_in_pieces(
@@ -124,12 +121,18 @@ def known_keys(
     return df.withColumns(added), use, list(added)
 
 
-def beside(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Add the columns of a small table by key; without keys it is one row of values."""
+def hinted(side: DataFrame, rows: int, policy: SkewPolicy) -> DataFrame:
+    """The side with a broadcast hint if its counted rows allow it, else for a shuffled join."""
+    return F.broadcast(side) if rows <= policy.hot_keys else side
+
+
+def beside(df: DataFrame, side: DataFrame, keys: list[str], rows: int, policy: SkewPolicy,
+           how: str = "left") -> DataFrame:
+    """Add the columns of a table of ``rows`` keys; without keys it is one row of values."""
     if keys == ["__all"]:
         rest = [c for c in side.columns if c not in keys]
         return df.withColumns({c: side.select(c).scalar() for c in rest})
-    return df.join(F.broadcast(side), keys, how)
+    return df.join(hinted(side, rows, policy), keys, how)
 
 
 def _blank(kind):
@@ -144,13 +147,14 @@ def _blank(kind):
     return None
 
 
-def _scan(df, keys, order, running, previous, totals):
+def _scan(df, keys, order, running, previous, totals, highest):
     group = Window.partitionBy(*keys)
     ordered = group.orderBy(*nulls_last(order))
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {name: F.sum(e).over(upto) for name, e in running.items()}
     new.update({name: F.lag(e).over(ordered) for name, e in previous.items()})
     new.update({name: F.sum(e).over(group) for name, e in totals.items()})
+    new.update({name: F.max(e).over(upto) for name, e in highest.items()})
     return df.withColumns(new)
 
 
@@ -167,11 +171,11 @@ def _cut_hot_keys(df, keys, order, limit, policy):
         if not isinstance(kinds[name], _ORDERED):
             break
         source = out if not pieces else out.filter(F.col("__hot") & (F.col(pieces[-1]) % 2 == 1))
-        points, most = _even_points(source, group, name, limit, policy)
+        points, most, n_hot = _even_points(source, group, name, limit, policy)
         if most == 0:
             break
         piece = f"__piece{len(pieces)}"
-        out = beside(out, points.drop("__heavy"), group)
+        out = beside(out, points.drop("__heavy"), group, n_hot, policy)
         if not pieces:
             out = out.withColumn("__hot", F.col("__points").isNotNull())
         out = out.withColumn(piece, piece_number(F.col(name), F.col("__points"), most)).drop("__points")
@@ -185,40 +189,46 @@ def _cut_hot_keys(df, keys, order, limit, policy):
 def _even_points(df, keys, name, limit, policy):
     """Cut points per hot key about half of ``limit`` rows apart.
 
-    Returns at most ``hot_keys`` rows whose arrays have at most
-    ``2 * hot_keys`` elements in all, and the length of the longest array.
+    Returns one row per hot key, the length of the longest array and the
+    number of hot keys.
     ``__heavy`` marks keys where one value, or NULL, may exceed ``limit``:
     such a value covers two neighbouring quantiles.
     """
     sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit))
-    largest = sizes.agg(F.max("__n")).first()[0]
+    largest, n_hot = sizes.agg(F.max("__n"), F.count(F.lit(1))).first()
     if largest is None:
-        return None, 0
+        return None, 0, 0
     most = math.ceil(2 * largest / limit)
     probs = [(i + 1) / (most + 1) for i in range(most)]
-    found = cut_points(df, keys, name, sizes, probs, max(policy.accuracy, 10 * most))
+    found = cut_points(df, keys, name, sizes, probs, max(policy.accuracy, 10 * most), n_hot, policy)
     own = F.ceil(F.col("__n") * 2 / limit)
     stride = F.greatest(F.lit(1), F.floor(F.lit(most) / own)).cast("int")
     distinct = F.array_distinct("__points")
     heavy = (F.size(distinct) < F.size("__points")) | (F.col("__nulls") > limit)
     kept = F.array_distinct(F.filter("__points", lambda _, i: (i + 1) % stride == 0))
-    return cut(found.select(*keys, kept.alias("__points"), heavy.alias("__heavy"))), most
+    return cut(found.select(*keys, kept.alias("__points"), heavy.alias("__heavy"))), most, n_hot
 
 
-def cut_points(df, keys, name, hot, probs, accuracy):
-    """Approximate quantiles of a column for each hot key, evaluated once.
+def cut_points(df, keys, name, hot, probs, accuracy, n_hot, policy):
+    """Approximate quantiles of a column for each of ``n_hot`` hot keys, evaluated once.
 
-    ``hot`` has at most ``hot_keys`` rows, at least one; its other columns are
-    kept.
+    ``hot`` has at least one row; its other columns are kept. Text has no
+    built-in sketch: about ``accuracy`` sampled values of each key (``__n`` rows) are sorted.
     """
     kind = next(f.dataType for f in df.schema.fields if f.name == name)
     marks = F.percentile_approx(name, probs, accuracy)
+    if isinstance(kind, T.StringType):
+        df = beside(df, hot.select(*keys, "__n"), keys, n_hot, policy, "inner").withColumn("__draw", F.rand(17))
+        drawn = F.sort_array(F.collect_list(F.when(F.col("__draw") * F.col("__n") < accuracy, F.col(name))))
+        marks = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.get(
+            drawn, F.floor(p * (F.size(drawn) - 1)).cast("int")))
+        marks = F.filter(marks, lambda x: x.isNotNull())
     no_marks = F.array().cast(T.ArrayType(kind))
     if keys != ["__all"]:
-        df = df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+        df = df.join(hinted(hot.select(*keys), n_hot, policy), keys, "left_semi")
     found = df.groupBy(*keys).agg(
         F.coalesce(marks, no_marks).alias("__points"), F.count_if(F.col(name).isNull()).alias("__nulls"))
-    return cut(beside(found, hot, keys))
+    return cut(beside(found, hot, keys, n_hot, policy))
 
 
 def piece_number(value: Column, points: Column, most: int) -> Column:
@@ -239,12 +249,14 @@ def piece_number(value: Column, points: Column, most: int) -> Column:
     )
 
 
-def _stitch(df, keys, pieces, order, running, previous, totals, hot):
+def _stitch(df, keys, pieces, order, running, previous, totals, hot, highest=None):
+    highest = highest or {}
     seen = {"__seen": F.lit(1)} if previous else {}
-    local = _scan(df, keys + pieces, order, running, {**previous, **seen}, totals)
+    local = _scan(df, keys + pieces, order, running, {**previous, **seen}, totals, highest)
 
     sums = {**{"__r_" + n: e for n, e in running.items()}, **{"__t_" + n: e for n, e in totals.items()}}
     folded = [F.sum(e).alias(n) for n, e in sums.items()]
+    folded += [F.max(e).alias("__h_" + n) for n, e in highest.items()]
     if previous:
         tail = F.struct(*[e.alias(n) for n, e in previous.items()])
         folded.append(F.max_by(tail, order_key(order)).alias("__tail"))
@@ -255,6 +267,7 @@ def _stitch(df, keys, pieces, order, running, previous, totals, hot):
     before = walk.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum("__r_" + n).over(before).alias("__r_" + n) for n in running]
     carried += [F.sum("__t_" + n).over(group).alias("__t_" + n) for n in totals]
+    carried += [F.max("__h_" + n).over(before).alias("__h_" + n) for n in highest]
     if previous:
         carried.append(F.lag("__tail").over(walk).alias("__tail"))
     offsets = summary.select(*keys, *pieces, *carried)
@@ -265,7 +278,8 @@ def _stitch(df, keys, pieces, order, running, previous, totals, hot):
     new.update({
         n: F.when(F.col("__seen").isNull(), F.col("__tail")[n]).otherwise(F.col(n)) for n in previous
     })
-    extra = ["__r_" + n for n in running] + ["__t_" + n for n in totals] + ["__tail", "__seen"]
+    new.update({n: F.greatest(F.col(n), F.col("__h_" + n)) for n in highest})
+    extra = ["__h_" + n for n in highest] + ["__r_" + n for n in running] + ["__t_" + n for n in totals] + ["__tail", "__seen"]
     return out.withColumns(new).drop(*extra)
 
 
@@ -294,20 +308,22 @@ def _salted(few, many, keys, spread, total, policy):
     """Both sides with a salt column if ``many`` has hot keys, else unchanged."""
     if total <= policy.task_rows:
         return few, many, keys
-    limit = policy.hot_limit(total)
+    limit = policy.task_rows
     hot = cut(
         many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
         .select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
     )
-    if hot.isEmpty():
+    n_hot = hot.count()
+    if not n_hot:
         return few, many, keys
+    hot = hinted(hot, n_hot, policy)
     salts = F.coalesce(F.col("__salts"), F.lit(1))
-    few = few.join(F.broadcast(hot), keys, "left").withColumn(
+    few = few.join(hot, keys, "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     # rows of a NULL key match nothing and may go anywhere
     lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salts = F.when(lost, F.lit(1024)).otherwise(salts)
-    many = many.join(F.broadcast(hot), keys, "left").withColumn(
+    many = many.join(hot, keys, "left").withColumn(
         "__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
     return few, many, [*keys, "__salt"]
 

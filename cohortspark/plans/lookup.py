@@ -50,6 +50,29 @@ def lookback_all_operations(spark, sf):
         items=ITEMS, many_anchors=True, row_bound=lab_rows(spark, sf)).select(LOOK_COLUMNS)
 
 
+ASOF_SQL = f"""WITH {SEQ}, {LABS}, o AS (SELECT DISTINCT subject_id, op_id, start_time FROM seq), m AS (
+  SELECT o.op_id, l.item_name, arg_max(struct_pack(v := l.value), struct_pack(t := l.chart_time, v := l.value)).v AS value
+  FROM o JOIN labs l ON o.subject_id = l.subject_id AND l.chart_time <= o.start_time
+    AND l.chart_time >= o.start_time - 180 * 1440 GROUP BY o.op_id, l.item_name)
+SELECT o.subject_id, o.op_id, o.start_time, """ + ", ".join(
+    f"(SELECT MAX(value) FROM m WHERE m.op_id = o.op_id AND m.item_name = '{i}') AS preop_{i}" for i in ITEMS) + " FROM o"
+
+
+@register("asof_all_operations", ASOF_SQL)
+def asof_all_operations(spark, sf):
+    """Every operation with the latest earlier value of each item, without pairs."""
+    every = operations(spark, sf).select("subject_id", "op_id", "start_time")
+    return lookups.asof_all(every, labs(spark, sf), "subject_id", anchor="start_time", time="chart_time",
+                            item="item_name", value="value", items=ITEMS)
+
+
+@register("asof_all_operations_balanced", ASOF_SQL)
+def asof_all_operations_balanced(spark, sf):
+    every = operations(spark, sf).select("subject_id", "op_id", "start_time")
+    return lookups.asof_all(every, labs(spark, sf), "subject_id", anchor="start_time", time="chart_time",
+                            item="item_name", value="value", items=ITEMS, policy=SMALL_TASKS)
+
+
 @register("lookahead_measurements", f"""WITH {FIRST}, {LABS}
 SELECT f.subject_id, f.op_id, l.item_name, l.chart_time, l.value
 FROM first_ops f JOIN labs l ON f.subject_id = l.subject_id

@@ -63,12 +63,38 @@ def test_ordered_scan_without_keys(events):
 def test_hot_subject_is_split_between_tasks(events):
     """No window group of the balanced plan holds the hot subject as a whole."""
     from cohortspark.operators.skew import _cut_hot_keys
-    tagged, pieces = _cut_hot_keys(events, ["subject"], ["start", "op"], TINY.hot_limit(900), TINY)
+    tagged, pieces = _cut_hot_keys(events, ["subject"], ["start", "op"], TINY.task_rows, TINY)
     sizes = tagged.filter("subject = 0").groupBy(*pieces).count().collect()
     assert len(pieces) == 2 and max(r["count"] for r in sizes) < 60
     assert tagged.filter("subject <> 0 AND NOT __hot").count() > 0
 
 
+def test_ties_are_cut_by_a_text_column(spark):
+    """One key, two thirds of its order values NULL: the text that breaks the tie cuts them."""
+    from cohortspark.operators.skew import _cut_hot_keys
+    rows = [(0, None if i % 3 else float(i), f"name-{(i * 7919) % 900:04d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "subject long, start double, tie string")
+    tagged, pieces = _cut_hot_keys(df, ["subject"], ["start", "tie"], TINY.task_rows, TINY)
+    sizes = tagged.groupBy(*pieces).count().collect()
+    assert len(pieces) == 2 and max(r["count"] for r in sizes) <= 2 * TINY.task_rows
+    got = ordered_scan(df, ["subject"], ["start", "tie"], running={"n": F.lit(1)},
+                       previous={"before": F.col("tie")}, policy=TINY).collect()
+    last = None
+    for n, (_, start, tie) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[2])), 1):
+        seen = next(r for r in got if r["tie"] == tie)
+        assert (seen["n"], seen["before"]) == (n, last)
+        last = tie
+
+
+def test_quantiles_of_infinities_do_not_depend_on_size(spark):
+    values = [float(i) for i in range(200)] + [float("inf")] * 201
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    small = grouped_summary(df, [], "v", probs).first()
+    large = grouped_summary(df, [], "v", probs, policy=TINY).first()
+    assert tuple(small) == tuple(large) == (40.0, float("inf"), float("inf"))
+
+
 def test_null_subject_is_spread_too(events):
     df = events.withColumn("subject", F.when(F.col("subject") != 0, F.col("subject")))
     got = ordered_scan(df, ["subject"], ["start", "op"], running={"n": F.lit(1)},
