@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,27 @@ def thousands_text(value: Column, digits: int = 0) -> Column:
 
 
 def p_value_text(p: Column) -> Column:
-    small = F.format_string("%.2e", p)
-    plain = F.format_string("%.3f", p)
-    return F.when(p < P_FLOOR, F.lit("< 2e-16")).when(p < 1e-3, small).otherwise(plain)
+    """Three significant digits without trailing zeros, in the shorter of plain and scientific notation."""
+    spelled = F.format_string("%.2e", p)
+    digits = F.regexp_replace(F.substring_index(spelled, "e", 1), r"\.?0+$", "")
+    power = F.substring_index(spelled, "e", -1).cast("int")
+    bare = F.replace(digits, F.lit("."), F.lit(""))
+    plain = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), bare)
+    brief = F.concat(digits, F.lit("e"), F.substring_index(spelled, "e", -1))
+    return (F.when(p < P_FLOOR, F.lit("< 2e-16")).when(power >= 0, digits)
+            .when(-power <= F.when(F.length(bare) > 1, 4).otherwise(3), plain).otherwise(brief))
+
+
+# Chebyshev coefficients of the complementary error function (relative error below 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587,
+        -0.82215223, 0.17087277)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Two-sided p-value of a standard normal value."""
+    x = F.abs(z) / F.lit(math.sqrt(2.0))
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
+    power = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        power = F.lit(c) + t * power
+    return t * F.exp(-x * x + power)

@@ -107,13 +107,15 @@ def roc_points(df: DataFrame, groups: list[str], label: str, score: str, *,
     curve = score_curve(df, groups, label, score, row_bound=row_bound, policy=policy)
     sens = F.try_divide(F.col("tp").cast("double"), F.col("positives"))
     fpr = F.try_divide(F.col("fp").cast("double"), F.col("negatives"))
-    points = curve.select(
-        *groups, F.col("score").alias("threshold"), sens.alias("sensitivity"),
-        (1.0 - fpr).alias("specificity"), fpr.alias("fpr"))
-    end = df.select(*groups).distinct().select(
-        *groups, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("sensitivity"),
-        F.lit(1.0).alias("specificity"), F.lit(0.0).alias("fpr"))
-    return points.unionByName(end)
+    def point(threshold, a, b, c):
+        return F.struct(threshold.cast("double").alias("threshold"), a.alias("sensitivity"),
+                        b.alias("specificity"), c.alias("fpr"))
+
+    own = point(F.col("score"), sens, 1.0 - fpr, fpr)
+    end = point(F.lit(None), F.lit(0.0), F.lit(1.0), F.lit(0.0))
+    # the curve's row of the highest score, which has counted itself only, opens the curve
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return curve.select(*groups, F.inline(F.when(first, F.array(own, end)).otherwise(F.array(own))))
 
 
 def rates(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -220,9 +222,15 @@ def operating_points(df: DataFrame, group: str, label: str, score: str, *,
     return counted.withColumns(rates(F.col("TP"), F.col("TN"), F.col("FP"), F.col("FN")))
 
 
-def margins(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Confusion counts with row, column and grand totals."""
-    return df.cube(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+def margins(points: DataFrame, groups: list[str]) -> DataFrame:
+    """Confusion counts of each row of ``points`` with row, column and grand totals (NULL)."""
+    cells = [("yes", "yes", "TP"), ("no", "no", "TN"), ("no", "yes", "FP"), ("yes", "no", "FN")]
+    ways = [F.struct(
+        (F.lit(truth) if keep_truth else F.lit(None).cast("string")).alias("truth"),
+        (F.lit(call) if keep_call else F.lit(None).cast("string")).alias("predicted"), F.col(c).alias("n"))
+        for truth, call, c in cells for keep_truth in (True, False) for keep_call in (True, False)]
+    return points.select(*groups, F.inline(F.array(*ways))).groupBy(*groups, "truth", "predicted").agg(
+        F.sum("n").alias("n"))
 
 
 def metric_table(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

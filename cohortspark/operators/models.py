@@ -8,15 +8,12 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark import fixed_values as fv
-from cohortspark.functions.scalar import p_value_text
+from cohortspark.functions.scalar import p_value_text, two_sided_p
 from cohortspark.operators.clean import present
 from cohortspark.operators.evaluate import across_folds, metric_rows
 from cohortspark.operators.folds import held_out, training
@@ -37,35 +34,37 @@ class Run:
     settings: dict = field(default_factory=dict)
 
 
-def logit(**_) -> GeneralizedLinearRegression:
-    """Unpenalised logistic regression by reweighted least squares.
-
-    A handful of passes over the rows, each adding up one small matrix.
-    """
-    return GeneralizedLinearRegression(family="binomial", link="logit", maxIter=25, tol=1e-8)
+def logit(*, passes: int = 300, tolerance: float = 1e-12) -> LogisticRegression:
+    """Unpenalised logistic regression for scores; any number of features."""
+    return LogisticRegression(regParam=0.0, maxIter=passes, tol=tolerance)
 
 
-def elastic_net(**_) -> LogisticRegression:
-    return LogisticRegression(regParam=fv.PENALTY, elasticNetParam=fv.MIXTURE, maxIter=100, tol=1e-6)
+def elastic_net(*, penalty: float = fv.PENALTY, mixture: float = fv.MIXTURE, passes: int = 300,
+                tolerance: float = 1e-9) -> LogisticRegression:
+    return LogisticRegression(regParam=penalty, elasticNetParam=mixture, maxIter=passes, tol=tolerance)
 
 
-def single_trees(trees: int = fv.TREES_SINGLE["trees"], **_) -> GBTClassifier:
-    return GBTClassifier(maxIter=trees, maxDepth=fv.TREES_SINGLE["depth"], seed=42)
+def single_trees(*, trees: int = fv.TREES_SINGLE["trees"], depth: int = fv.TREES_SINGLE["depth"],
+                 rate: float = 0.1, seed: int = 42) -> GBTClassifier:
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
 
 
-def full_trees(trees: int = fv.TREES_FULL["trees"], n_inputs: int = 1, n_features: int = 1, **_) -> GBTClassifier:
+def full_trees(*, trees: int = fv.TREES_FULL["trees"], depth: int = fv.TREES_FULL["depth"],
+               rate: float = fv.TREES_FULL["rate"], min_rows: int = fv.TREES_FULL["min_rows"],
+               min_gain: float = fv.TREES_FULL["min_gain"], row_sample: float = fv.TREES_FULL["row_sample"],
+               column_share: float = fv.TREES_FULL["column_share"], seed: int = 42,
+               n_inputs: int = 1, n_features: int = 1) -> GBTClassifier:
     """Boosted trees with row and column sampling and class weights."""
-    s = fv.TREES_FULL
-    tried = min(column_sample_count(n_inputs, s["column_share"]), n_features)
+    tried = min(column_sample_count(n_inputs, column_share), n_features)
     return GBTClassifier(
-        maxIter=trees, maxDepth=s["depth"], stepSize=s["rate"], minInstancesPerNode=s["min_rows"],
-        minInfoGain=s["min_gain"], subsamplingRate=s["row_sample"],
-        featureSubsetStrategy=str(tried), weightCol="__weight", seed=42)
+        maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_rows, minInfoGain=min_gain,
+        subsamplingRate=row_sample, featureSubsetStrategy=str(tried), weightCol="__weight", seed=seed)
 
 
 MODELS = {"LR (glm)": logit, "LR (glmnet)": elastic_net, "GBT single": single_trees, "GBT": full_trees}
 WEIGHTED = {"GBT"}
 DROPS_LEVEL = {"LR (glm)"}
+COUNTS_INPUTS = {"GBT"}
 
 
 def feature_table(df: DataFrame, row_id: str, label: str, inputs: list[str]) -> DataFrame:
@@ -95,12 +94,15 @@ def cross_validate(
     def one_fold(fold):
         train = training(table, fold)
         recipe = fit_recipe(train, used, nominal, drop_level=model in DROPS_LEVEL, row_bound=row_bound)
-        estimator = MODELS[model](n_inputs=len(used), n_features=len(recipe.features()), **options)
+        counted = {"n_inputs": len(used), "n_features": recipe.size} if model in COUNTS_INPUTS else {}
+        estimator = MODELS[model](**counted, **options)  # an unknown setting is an error
         estimator = estimator.setLabelCol(label)
         ready = recipe.apply(train, [label])
         if "ratio" in settings:
             ready = ready.withColumn("__weight", F.when(F.col(label) == 1, settings["ratio"]).otherwise(1.0))
+        ready = ready.persist()  # solvers and trees read it many times
         fitted = estimator.fit(ready)
+        ready.unpersist()
         scored = fitted.transform(recipe.apply(held_out(table, fold), [row_id, label, "fold"]))
         return scored.select(row_id, "fold", label, _positive(scored).alias("pred_yes"))
 
@@ -114,9 +116,7 @@ def cross_validate(
 
 
 def _positive(scored: DataFrame):
-    if "probability" in scored.columns:
-        return vector_to_array("probability")[1]
-    return F.col("prediction")
+    return vector_to_array("probability")[1]
 
 
 def ladder(
@@ -139,40 +139,35 @@ def ladder_predictions(runs: list[Run]) -> DataFrame:
     return stack_rows(*[r.predictions for r in runs])
 
 
-def coefficient_table(df: DataFrame, label: str, factor: str, reference: str, *, max_levels: int = 1000) -> DataFrame:
+def coefficient_table(df: DataFrame, label: str, factor: str, reference: str) -> DataFrame:
     """Odds ratios of one categorical predictor against a reference level.
 
-    Rows are reduced to one event rate and weight per level first, so the fit
-    reads a few rows whatever the table size.
+    A single factor is a saturated model, so estimates, standard errors and
+    p-values follow from the events and non-events of each level, for any
+    number of levels. A level with events only, or none, has an infinite
+    estimate and no standard error. A reference that does not occur gives no row.
     """
-    counts = cut(
-        df.filter(F.col(label).isNotNull() & F.col(factor).isNotNull())
-        .groupBy(F.col(factor).cast("string").alias("level"))
-        .agg(F.avg(F.col(label).cast("double")).alias("label"),
-             F.count(F.lit(1)).cast("double").alias("weight"))
-    )
-    if counts.count() > max_levels:
-        raise ValueError(f"more than {max_levels} levels in {factor}")
-    levels = sorted(r["level"] for r in counts.select("level").collect())
-    if reference not in levels:
-        raise ValueError(f"reference level {reference} does not occur in {factor}")
-    others = [x for x in levels if x != reference]
-    flat = counts.select("label", "weight", *[
-        (F.col("level") == x).cast("double").alias(f"f_{i}") for i, x in enumerate(others)])
-    ready = VectorAssembler(inputCols=[f"f_{i}" for i in range(len(others))], outputCol="features").transform(flat)
-    # at most max_levels rows: one task per pass
-    ready = ready.coalesce(1)
-    fitted = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-12).fit(ready)
-    summary = fitted.summary
-    terms = [factor + x for x in others] + ["(Intercept)"]
-    estimates = [float(b) for b in fitted.coefficients] + [float(fitted.intercept)]
-    rows = list(zip(terms, estimates, map(float, summary.coefficientStandardErrors), map(float, summary.pValues)))
-    schema = T.StructType([
-        T.StructField("term", T.StringType()), T.StructField("estimate", T.DoubleType()),
-        T.StructField("std_error", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
+    y = F.col(label).cast("double")
+    counts = cut(df.where(F.col(label).isNotNull() & F.col(factor).isNotNull())
+                 .groupBy(F.col(factor).cast("string").alias("level"))
+                 .agg(F.sum(y).alias("e"), F.sum(1.0 - y).alias("o")))
+    inf = F.lit(float("inf"))
+
+    def log_odds(e, o):
+        return F.when(e == 0, -inf).when(o == 0, inf).otherwise(F.log(e / o))
+
+    e, o, e0, o0 = (F.col(c) for c in ("e", "o", "e0", "o0"))
+    own = F.try_divide(F.lit(1.0), e) + F.try_divide(F.lit(1.0), o)
+    base = F.try_divide(F.lit(1.0), e0) + F.try_divide(F.lit(1.0), o0)
+    first = counts.where(F.col("level") == reference).select(F.col("e").alias("e0"), F.col("o").alias("o0"))
+    terms = counts.where(F.col("level") != reference).join(F.broadcast(first)).select(  # one row of counts
+        F.concat(F.lit(factor), "level").alias("term"), (log_odds(e, o) - log_odds(e0, o0)).alias("estimate"),
+        F.sqrt(own + base).alias("std_error"))
+    whole = first.select(
+        F.lit("(Intercept)").alias("term"), log_odds(e0, o0).alias("estimate"), F.sqrt(base).alias("std_error"))
     b, se = F.col("estimate"), F.col("std_error")
-    return df.sparkSession.createDataFrame(rows, schema).withColumns({
+    out = terms.unionByName(whole).withColumn("p_value", two_sided_p(b / se))
+    return out.withColumns({
         "odds_ratio": F.exp(b), "or_lower": F.exp(b - fv.CI_Z * se), "or_upper": F.exp(b + fv.CI_Z * se),
         "p_text": p_value_text(F.col("p_value"))})
 

@@ -49,3 +49,9 @@ def stack_rows(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def stack_columns(df: DataFrame, columns: dict[str, Column], name: str, value: str) -> DataFrame:
+    """Every row once per named expression, as (name, value), in one scan."""
+    pairs = F.array(*[F.struct(F.lit(c).alias(name), e.cast("double").alias(value)) for c, e in columns.items()])
+    return df.select("*", F.inline(pairs))

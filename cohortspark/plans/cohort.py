@@ -313,8 +313,9 @@ def typed_and_relabelled(spark, sf):
 @register("display_columns", f"""WITH c AS ({CATEGORY_SQL}) SELECT interval_category,
   format('{{:,}}', n_intervals) AS n_text, printf('%.1f%%', percentage) AS pct_text,
   printf('%.2f (%.2f)', percentage, percentage) AS mean_sd,
-  CASE WHEN percentage < 0.1 THEN printf('%.2e', percentage / 100) ELSE printf('%.3f', percentage / 100) END AS p_text
-FROM c""")
+  CASE WHEN percentage >= 100 THEN '1' WHEN percentage < 0.01 THEN regexp_replace(printf('%.2e', percentage / 100), '\\.?0+e', 'e')
+    ELSE regexp_replace(printf('%.*f', 2 - CAST(floor(log10(percentage / 100)) AS INTEGER), percentage / 100), '\\.?0+$', '')
+  END AS p_text FROM c""")
 def display_columns(spark, sf):
     table_ = interval_categories(spark, sf)
     return table_.select(

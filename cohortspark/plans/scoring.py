@@ -72,9 +72,8 @@ def scored(spark, sf):
     base = folded(spark, sf).join(docs, "doc_id")
     n = F.col("n_chars").cast("double")
     by = {"chars": n / (n + 1000.0), "lang": F.when(F.col("lang") == "en", 0.75).otherwise(0.25)}
-    return reshape.stack_rows(*[
-        base.select("doc_id", "fold", F.col("quality").alias("y"), "lang", F.lit(name).alias("model"), e.alias("score"))
-        for name, e in by.items()])
+    return reshape.stack_columns(base, by, "model", "score").select(
+        "doc_id", "fold", F.col("quality").alias("y"), "lang", "model", "score")
 
 
 def rank_sql(groups: str) -> str:
@@ -212,10 +211,9 @@ PREDS = """scored AS (SELECT m.model, CAST(l_returnflag = 'R' AS INTEGER) AS y,
 def predictions(spark, sf):
     """Returned lines scored by discount and by quantity."""
     lines = table(spark, sf, "lineitem")
-    y = (F.col("l_returnflag") == "R").cast("int").alias("y")
-    return reshape.stack_rows(
-        lines.select(F.lit("LR").alias("model"), y, (F.col("l_discount") * 10).alias("score")),
-        lines.select(F.lit("GBT").alias("model"), y, (F.col("l_quantity") / 50).alias("score")))
+    y = (F.col("l_returnflag") == "R").cast("int")
+    by = {"LR": F.col("l_discount") * 10, "GBT": F.col("l_quantity") / 50}
+    return reshape.stack_columns(lines.withColumn("y", y), by, "model", "score").select("model", "y", "score")
 
 
 def prediction_rows(spark, sf):
@@ -336,15 +334,22 @@ def confusion_fixed(spark, sf):
     return rounded(out, 9, *RATES)
 
 
-@register("confusion_margins", f"""WITH {PREDS}, c AS (
-  SELECT CASE WHEN y = 1 THEN 'yes' ELSE 'no' END AS truth,
-    CASE WHEN score >= 0.5 THEN 'yes' ELSE 'no' END AS predicted FROM scored WHERE model = 'LR')
-SELECT truth, predicted, COUNT(*) AS n FROM c GROUP BY CUBE (truth, predicted)""")
+MARGINS = points_sql(pooled=False).rsplit("SELECT model, threshold_name, TP", 1)[0]
+
+
+@register("confusion_margins", MARGINS + """, long AS (
+  SELECT model, threshold_name, 'yes' AS truth, 'yes' AS predicted, TP AS n FROM t UNION ALL
+  SELECT model, threshold_name, 'no', 'no', TN FROM t UNION ALL
+  SELECT model, threshold_name, 'no', 'yes', FP FROM t UNION ALL
+  SELECT model, threshold_name, 'yes', 'no', FN FROM t)
+SELECT model, threshold_name, truth, predicted, SUM(n)::BIGINT AS n FROM long
+GROUP BY GROUPING SETS ((model, threshold_name, truth, predicted), (model, threshold_name, truth),
+  (model, threshold_name, predicted), (model, threshold_name))""")
 def confusion_margins(spark, sf):
-    rows = predictions(spark, sf).filter(F.col("model") == "LR").select(
-        F.when(F.col("y") == 1, "yes").otherwise("no").alias("truth"),
-        F.when(F.col("score") >= 0.5, "yes").otherwise("no").alias("predicted"))
-    return evaluate.margins(rows, "truth", "predicted")
+    """Margins of every model at every operating point."""
+    points = evaluate.operating_points(predictions(spark, sf), "model", "y", "score", per_group=True, prevalence=True,
+                                       row_bound=prediction_rows(spark, sf))
+    return evaluate.margins(points, ["model", "threshold_name"])
 
 
 @register("logit_saturated", """WITH g AS (
@@ -353,23 +358,30 @@ def confusion_margins(spark, sf):
   SELECT e AS e0, o AS o0 FROM g WHERE level = 1), t AS (
   SELECT 'line' || level AS term, LN(e * 1.0 / o) - LN(e0 * 1.0 / o0) AS b,
     SQRT(1.0 / e + 1.0 / o + 1.0 / e0 + 1.0 / o0) AS se FROM g CROSS JOIN r WHERE level <> 1
-  UNION ALL SELECT '(Intercept)', LN(e0 * 1.0 / o0), SQRT(1.0 / e0 + 1.0 / o0) FROM r)
+  UNION ALL SELECT '(Intercept)', LN(e0 * 1.0 / o0), SQRT(1.0 / e0 + 1.0 / o0) FROM r), u AS (
+  SELECT *, ABS(b / se) AS z FROM t), tail AS (
+  -- Simpson's rule on the normal density between 0 and min(z, 8)
+  SELECT term, 1 - 2 * SUM(EXP(-POW(least(z, 8.0) * i / 4000.0, 2) / 2)
+    * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * least(ANY_VALUE(z), 8.0) / 4000.0 / 3 / SQRT(2 * PI()) AS p
+  FROM u CROSS JOIN (SELECT UNNEST(range(0, 4001)) AS i) GROUP BY term)
 SELECT term, ROUND(b, 6) AS estimate, ROUND(se, 6) AS std_error, ROUND(EXP(b), 6) AS odds_ratio,
-  ROUND(EXP(b - 1.96 * se), 6) AS or_lower, ROUND(EXP(b + 1.96 * se), 6) AS or_upper FROM t""")
+  ROUND(EXP(b - 1.96 * se), 6) AS or_lower, ROUND(EXP(b + 1.96 * se), 6) AS or_upper,
+  ROUND(ABS(p), 5) AS p_value FROM u JOIN tail USING (term)""")
 def logit_saturated(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    out = models.coefficient_table(lines, "y", "line", "1").drop("p_value", "p_text")
-    return rounded(out, 6, "estimate", "std_error", "odds_ratio", "or_lower", "or_upper")
+    out = models.coefficient_table(lines, "y", "line", "1").drop("p_text")
+    return rounded(rounded(out, 6, "estimate", "std_error", "odds_ratio", "or_lower", "or_upper"), 5, "p_value")
 
 
 @register("auroc_two_ways", f"""{SCORED}, {rank_sql('model')} SELECT model, ROUND(roc_auc, 9) AS roc_auc,
-  ROUND(roc_auc, 9) AS roc_auc_ml, TRUE AS same FROM auc WHERE model = 'chars'""")
+  ROUND(roc_auc, 9) AS roc_auc_ml, TRUE AS same FROM auc""")
 def auroc_two_ways(spark, sf):
-    """The curve's AUC beside the ML library's, and whether they agree."""
-    rows = scored(spark, sf).filter(F.col("model") == "chars")
+    """The curve's AUC of both models beside the ML library's, and whether they agree."""
+    rows = scored(spark, sf)
     own = evaluate.ranking_measures(rows, ["model"], "y", "score", row_bound=label_rows(spark, sf))
-    other = models.evaluator_auc(rows, "y", "score")
-    out = own.select("model", "roc_auc", F.lit(other).alias("roc_auc_ml"),
-                     (F.abs(F.col("roc_auc") - F.lit(other)) < 1e-9).alias("same"))
+    other = {m: models.evaluator_auc(rows.filter(F.col("model") == m), "y", "score") for m in ("chars", "lang")}
+    ml = F.try_element_at(F.create_map(*[F.lit(x) for pair in other.items() for x in pair]), F.col("model"))
+    out = own.select("model", "roc_auc", ml.alias("roc_auc_ml"), (F.abs(F.col("roc_auc") - ml) < 1e-9).alias("same"))
     return rounded(out, 9, "roc_auc", "roc_auc_ml")

@@ -87,10 +87,14 @@ def test_operating_points_keep_every_row(scores):
 
 
 def test_margins_add_up(scores):
-    calls = scores.select(F.col("y").alias("t"), (F.col("s") > 0.3).alias("p"))
-    rows = evaluate.margins(calls, "t", "p").collect()
-    inner = sum(r["n"] for r in rows if r["t"] is not None and r["p"] is not None)
-    assert inner == next(r["n"] for r in rows if r["t"] is None and r["p"] is None) == 400
+    points = evaluate.operating_points(scores, "model", "y", "s")
+    rows = evaluate.margins(points, ["model", "threshold_name"]).collect()
+    assert len(rows) == 6 * 9
+    for p in points.collect():
+        mine = {(r["truth"], r["predicted"]): r["n"] for r in rows
+                if (r["model"], r["threshold_name"]) == (p["model"], p["threshold_name"])}
+        assert mine[("yes", "yes")] == p["TP"] and mine[("no", None)] == p["TN"] + p["FP"]
+        assert mine[(None, "no")] == p["TN"] + p["FN"] and mine[(None, None)] == 200
 
 
 @pytest.fixture(scope="module")
@@ -155,7 +159,8 @@ def test_logit_scores_equal_newton(table):
 
 def test_other_models_rank_better_than_chance(table):
     for model in ("LR (glmnet)", "GBT single", "GBT"):
-        run = models.cross_validate(table, "id", "y", INPUTS, model, nominal=["kind"], folds=5, trees=4)
+        few = {} if model == "LR (glmnet)" else {"trees": 4}
+        run = models.cross_validate(table, "id", "y", INPUTS, model, nominal=["kind"], folds=5, **few)
         assert run.predictions.count() == table.count()
         auc = run.metrics.filter("metric = 'roc_auc'").first()["mean"]
         assert auc > 0.55
@@ -164,6 +169,26 @@ def test_other_models_rank_better_than_chance(table):
             assert run.settings["ratio"] == pytest.approx((table.count() - ones) / ones)
 
 
+@pytest.mark.parametrize("model", ["LR (glm)", "LR (glmnet)", "GBT single", "GBT"])
+def test_unknown_settings_are_refused(table, model):
+    with pytest.raises(TypeError, match="nonsense"):
+        models.cross_validate(table, "id", "y", ["a"], model, nonsense=1)
+
+
+def test_any_number_of_levels(spark):
+    """1,500 levels: one-hot columns, scores of a logistic run and odds ratios."""
+    rows = [(i, int(i % 1500 < 500), f"k{i % 1500:04d}", i % 5) for i in range(4500)]
+    df = spark.createDataFrame(rows, "id long, y int, kind string, fold int")
+    recipe = prep.fit_recipe(df, ["kind"], ["kind"])
+    assert recipe.size == 1500
+    vectors = recipe.apply(df.limit(20), ["kind"]).collect()
+    assert all(r["features"].size == 1500 and r["features"].indices.tolist() == [int(r["kind"][1:])] for r in vectors)
+    unseen = recipe.apply(df.limit(1).withColumn("kind", F.lit("other")), ["id"]).first()
+    assert unseen["features"].numNonzeros() == 0
+    table = models.coefficient_table(df, "y", "kind", "k0000")
+    assert table.count() == 1500 and table.filter("estimate = double('-infinity')").count() == 1000
+
+
 def test_ladder_fits_each_pair_once(table):
     runs = models.ladder(table, "id", "y", {"one": ["a"], "two": ["a", "b"]}, ["LR (glm)"], nominal=[])
     assert [(r.model, r.feature_set) for r in runs] == [("LR (glm)", "one"), ("LR (glm)", "two")]
