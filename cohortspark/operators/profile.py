@@ -6,12 +6,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark import fixed_values as fv
 from cohortspark.functions.scalar import strip_prefix
 from cohortspark.operators.quantiles import grouped_summary
 from cohortspark.operators.reshape import to_long
 from cohortspark.operators.skew import POLICY, SkewPolicy, attach
+from cohortspark.session import cut
 
 QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 FENCE = 1.5
@@ -38,8 +40,7 @@ def column_profile(df: DataFrame, columns: list[str], quantiles: dict[str, float
     """One row per column: counts, missingness, moments and quantiles.
 
     The columns are read as (variable, value) rows and grouped by variable, so
-    the number of jobs does not grow with columns or statistics. Large inputs
-    are read several times; pass a written table if the plan is costly.
+    the number of jobs does not grow with columns or statistics.
     """
     bound = None if row_bound is None else row_bound * len(columns)
     stats = {**basic("value"), "n_missing": F.count_if(F.col("value").isNull()),
@@ -50,6 +51,35 @@ def column_profile(df: DataFrame, columns: list[str], quantiles: dict[str, float
     ).orderBy("variable")
 
 
+def table_summary(df: DataFrame, quantiles: dict[str, float] | None = None, *, row_bound: int | None = None,
+                  policy: SkewPolicy = POLICY) -> DataFrame:
+    """One row per column of the whole table.
+
+    Numbers and times (as seconds) get counts, moments and quantiles; other
+    columns get known and missing rows only.
+    """
+    def number(field):
+        kind = field.dataType
+        if isinstance(kind, T.NumericType):
+            return F.col(field.name).cast("double")
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(F.col(field.name).cast("timestamp")) / F.lit(1e6)
+        return None
+
+    numbers = {f.name: number(f) for f in df.schema.fields if number(f) is not None}
+    others = [c for c in df.columns if c not in numbers]
+    top = column_profile(df.select(*[e.alias(c) for c, e in numbers.items()]), list(numbers), quantiles,
+                         row_bound=row_bound, policy=policy)
+    if not others:
+        return top
+    missing = missingness(df, others)
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    bottom = missing.withColumn("rows", rows.scalar()).select(
+        "variable", (F.col("rows") - F.col("n_missing")).alias("n"), "n_missing",
+        F.try_divide(F.col("n_missing") * 100.0, F.col("rows")).alias("pct_missing"))
+    return top.unionByName(bottom, allowMissingColumns=True)
+
+
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing count and percentage per column, most missing first."""
     counted = df.agg(
@@ -178,39 +208,50 @@ def group_histogram(df: DataFrame, groups: list[str], value: str, bins: int) ->
         F.try_divide(F.col("n").cast("double"), total * F.col("__width")).alias("density"))
 
 
-def kde(df: DataFrame, value: str, low: float, high: float, *, bins: int, points: int,
-        adjust: float = 2.0, row_bound=None, policy: SkewPolicy = POLICY) -> DataFrame:
-    """Gaussian kernel density of binned values on an even grid.
+def kde(df: DataFrame, value: str, *, groups: list[str] = (), bins: int = 512, points: int = 512,
+        adjust: float = 1.0, cut_off: float = 3.0, row_bound=None, policy: SkewPolicy = POLICY) -> DataFrame:
+    """Gaussian kernel density on an even grid, one curve per group.
 
-    Rows are reduced to at most ``bins`` counts first; each count then adds
-    its kernel to the ``points`` grid places.
+    The bandwidth is 0.9 times the smaller of sd and scaled quartile range
+    times n to the -1/5, times ``adjust``. The grid reaches ``cut_off``
+    bandwidths beyond the values. Rows are reduced to at most ``bins`` counts
+    per group first; each count then adds its kernel to the ``points`` grid
+    places. A group without spread has no curve.
     """
-    step = (high - low) / bins
+    groups = list(groups)
     v = F.col(value)
-    number = F.least(F.floor((v - low) / F.lit(step)), F.lit(bins - 1).cast("bigint"))
-    inside = df.filter(v.between(low, high))
     stats = grouped_summary(
-        inside, [], value, {"q25": 0.25, "q75": 0.75},
-        {"n": F.count(v), "sd": F.stddev_samp(v)}, row_bound=row_bound, policy=policy)
-    narrow = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / F.lit(1.34))
-    width = stats.select((F.lit(adjust * 0.9) * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
-    counts = inside.select(number.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    centre = F.lit(low) + (F.col("bin") + 0.5) * F.lit(step)
-    gap = (high - low) / (points - 1)
+        df, groups, value, {"q25": 0.25, "q75": 0.75},
+        {"n": F.count(v), "sd": F.stddev_samp(v), "low": F.min(v), "high": F.max(v)},
+        row_bound=row_bound, policy=policy)
+    quartile = (F.col("q75") - F.col("q25")) / F.lit(1.34)
+    narrow = F.when(quartile > 0, F.least(F.col("sd"), quartile)).otherwise(F.col("sd"))
+    h = F.lit(adjust * 0.9) * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    step = (F.col("high") - F.col("low")) / F.lit(float(bins))
+    stats = stats.withColumn("h", h).where("h > 0").select(
+        *groups, "h", "low", step.alias("step"), (F.col("low") - cut_off * F.col("h")).alias("from"),
+        ((F.col("high") - F.col("low") + 2 * cut_off * F.col("h")) / F.lit(float(points - 1))).alias("gap"))
+    number = F.least(F.floor((v - F.col("low")) / F.col("step")), F.lit(bins - 1).cast("bigint"))
+    names = ["h", "low", "step", "from", "gap"]
+    known = df.filter(v.isNotNull()).select(*groups, value)
+    placed = attach(known, stats, groups, row_bound=row_bound, policy=policy) if groups else known.withColumns(
+        {c: cut(stats).select(c).scalar() for c in names})
+    counts = placed.where("h IS NOT NULL").groupBy(*groups, *names, number.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
     spread = counts.select(
-        "n", centre.alias("c"), width.scalar().alias("h"),
+        *groups, "h", "n", (F.col("low") + (F.col("bin") + 0.5) * F.col("step")).alias("c"), "from", "gap",
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
-    ).withColumn("x", F.lit(low) + F.col("point") * F.lit(gap))
+    ).withColumn("x", F.col("from") + F.col("point") * F.col("gap"))
     u = (F.col("x") - F.col("c")) / F.col("h")
     kernel = F.exp(F.lit(-0.5) * u * u) / F.lit(math.sqrt(2.0 * math.pi))
-    return spread.groupBy("point", "x").agg(
+    return spread.groupBy(*groups, "point", "x").agg(
         (F.sum(F.col("n") * kernel) / (F.sum("n") * F.max("h"))).alias("density"),
-    ).orderBy("point")
+    ).orderBy(*groups, "point")
 
 
-def density_peak(curve: DataFrame) -> DataFrame:
-    """Grid place of the largest density."""
-    return curve.agg(F.max_by("x", F.struct("density", "x")).alias("x"), F.max("density").alias("density"))
+def density_peak(curve: DataFrame, groups: list[str] = ()) -> DataFrame:
+    """Grid place of the largest density of each curve."""
+    return curve.groupBy(*groups).agg(F.max_by("x", F.struct("density", "x")).alias("x"), F.max("density").alias("density"))
 
 
 def mixed_summary(df: DataFrame, continuous: list[str], categorical: list[str], *, row_bound=None,

@@ -26,7 +26,16 @@ SMALL_TASKS = SkewPolicy(task_rows=200, hot_keys=1_000_000, accuracy=1000)
 FROM long GROUP BY variable""")
 def missingness_profile(spark, sf):
     rows = model_table(spark, sf)
-    return profile.missingness(rows, by_prefix(rows, "preop_")).limit(20)
+    return profile.missingness(rows, by_prefix(rows, "preop_"))
+
+
+@register("most_missing", f"""WITH {MODEL_LONG} SELECT variable,
+  COUNT(*) FILTER (WHERE value IS NULL) AS n_missing,
+  ROUND(COUNT(*) FILTER (WHERE value IS NULL) * 100.0 / COUNT(*), 2) AS pct_missing
+FROM long GROUP BY variable ORDER BY pct_missing DESC, variable LIMIT 3""")
+def most_missing(spark, sf):
+    """The three columns with most missing values."""
+    return missingness_profile(spark, sf).limit(3)
 
 
 PROFILE_NUMBERS = ["mean", "sd", "min", "max", "pct_missing", *fv.COLUMN_QUANTILES]
@@ -85,6 +94,31 @@ def lab_summary(spark, sf):
     return rounded(out, 6, "mean", "sd", "pct_missing", "q25", "median", "q75", "pct_outliers")
 
 
+def two_digits(value: str) -> str:
+    return f"CAST(CAST(ROUND(CAST({value} AS DECIMAL(18, 9)), 2) AS DECIMAL(18, 2)) AS VARCHAR)"
+
+
+LAB_TEXT_SQL = f"""WITH {MODEL_LONG}, q AS (
+  SELECT substring(variable, 7) AS variable, AVG(value) AS mean, STDDEV_SAMP(value) AS sd, MIN(value) AS low, MAX(value) AS high,
+    quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q75
+  FROM long GROUP BY 1)
+SELECT variable, {two_digits('mean')} || ' (' || {two_digits('sd')} || ')' AS mean_sd,
+  {two_digits('median')} || ' [' || {two_digits('q25')} || ', ' || {two_digits('q75')} || ']' AS median_iqr,
+  {two_digits('low')} || ' - ' || {two_digits('high')} AS range FROM q"""
+
+
+@register("lab_texts", LAB_TEXT_SQL)
+def lab_texts(spark, sf):
+    """The lab table's display columns."""
+    out = rounded(profile.lab_summary(cut(model_table(spark, sf)), WIDE, row_bound=order_rows(spark, sf)),
+                  9, "mean", "sd", "median", "q25", "q75")
+    c = {n: F.col(n) for n in out.columns}
+    return out.select(
+        "variable", scalar.mean_sd_text(c["mean"], c["sd"]).alias("mean_sd"),
+        scalar.median_iqr_text(c["median"], c["q25"], c["q75"]).alias("median_iqr"),
+        scalar.range_text(c["min"], c["max"]).alias("range"))
+
+
 FLAG_COLUMNS = {"large": "o_totalprice > 200000", "urgent": "o_orderpriority = '1-URGENT'",
                 "open": "CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'O' END"}
 
@@ -178,31 +212,48 @@ def group_histogram(spark, sf):
     return rounded(profile.group_histogram(events(spark, sf), ["event_type"], "value", 15), 9, "density")
 
 
-KDE_SQL = f"""WITH {GAPS}, x AS (
-  SELECT days_since_prev AS v FROM gaps WHERE days_since_prev BETWEEN 0 AND 1500), s AS (
-  SELECT 2.0 * 0.9 * LEAST(STDDEV_SAMP(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34)
-    * POW(COUNT(*), -0.2::DOUBLE) AS h FROM x), c AS (
-  SELECT LEAST(CAST(floor(v / 3.0::DOUBLE) AS BIGINT), 499) AS bin, COUNT(*) AS n FROM x GROUP BY 1), g AS (
-  SELECT UNNEST(range(0, 101)) AS point)
-SELECT CAST(point AS INTEGER) AS point, point * 15.0::DOUBLE AS x, ROUND(SUM(n * EXP(-0.5::DOUBLE
-  * POW((point * 15.0::DOUBLE - (bin + 0.5) * 3.0::DOUBLE) / h, 2)) / {math.sqrt(2 * math.pi)!r}::DOUBLE)
-  / (SUM(n) * MAX(h)), 12) AS density
-FROM c CROSS JOIN g CROSS JOIN s GROUP BY point"""
+def kde_sql(source: str, group: str, adjust: float, points: int) -> str:
+    """Density of 512 bins on a grid that reaches three bandwidths beyond the values."""
+    return f"""{source}, s AS (
+  SELECT {group} AS g, COUNT(*) AS n, STDDEV_SAMP(v) AS sd, MIN(v) AS low, MAX(v) AS high,
+    (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM x GROUP BY 1), h AS (
+  SELECT g, low, high, (high - low) / 512.0::DOUBLE AS step, {adjust} * 0.9 * CASE WHEN iqr > 0 THEN LEAST(sd, iqr) ELSE sd END
+    * POW(n, -0.2::DOUBLE) AS h FROM s), c AS (
+  SELECT g, h, low, high, step, LEAST(CAST(floor((v - low) / step) AS BIGINT), 511) AS bin, COUNT(*) AS n
+  FROM x JOIN h ON x.{group} = h.g GROUP BY ALL), p AS (
+  SELECT *, low - 3 * h + i * ((high - low + 6 * h) / {points - 1}.0::DOUBLE) AS px
+  FROM c CROSS JOIN (SELECT UNNEST(range(0, {points})) AS i)), k AS (
+  SELECT g, CAST(i AS INTEGER) AS point, px AS x,
+    SUM(n * EXP(-0.5::DOUBLE * POW((px - (low + (bin + 0.5) * step)) / h, 2)) / {math.sqrt(2 * math.pi)!r}::DOUBLE)
+      / (SUM(n) * MAX(h)) AS density
+  FROM p GROUP BY g, i, px)"""
+
+
+GAP_KDE = kde_sql(f"WITH {GAPS}, x AS (SELECT 1 AS one, days_since_prev AS v FROM gaps WHERE days_since_prev IS NOT NULL)",
+                  "one", 1.0, 512)
+ITEM_KDE = kde_sql("WITH x AS (SELECT event_type, value AS v FROM events WHERE value IS NOT NULL)", "event_type", 2.0, 64)
 
 
 def gap_kde(spark, sf):
-    return profile.kde(gaps(spark, sf), "days_since_prev", 0.0, 1500.0, bins=500, points=101,
-                       row_bound=order_rows(spark, sf))
+    return profile.kde(gaps(spark, sf), "days_since_prev", row_bound=order_rows(spark, sf))
 
 
-@register("kde_grid", KDE_SQL)
+@register("kde_grid", f"{GAP_KDE} SELECT point, ROUND(x, 6) AS x, ROUND(density, 9) AS density FROM k")
 def kde_grid(spark, sf):
-    return rounded(gap_kde(spark, sf), 12, "density")
+    return rounded(rounded(gap_kde(spark, sf), 9, "density"), 6, "x")
 
 
-@register("kde_peak", f"WITH k AS ({KDE_SQL}) SELECT x, density FROM k ORDER BY density DESC, x DESC LIMIT 1")
+@register("kde_peak", f"{GAP_KDE} SELECT ROUND(x, 6) AS x, ROUND(density, 9) AS density FROM k ORDER BY k.density DESC, k.x DESC LIMIT 1")
 def kde_peak(spark, sf):
-    return rounded(profile.density_peak(gap_kde(spark, sf)), 12, "density")
+    return rounded(rounded(profile.density_peak(gap_kde(spark, sf)), 9, "density"), 6, "x")
+
+
+@register("kde_by_item", f"{ITEM_KDE} SELECT g AS event_type, point, ROUND(x, 6) AS x, ROUND(density, 9) AS density FROM k")
+def kde_by_item(spark, sf):
+    """One smoother curve per item."""
+    out = profile.kde(events(spark, sf), "value", groups=["event_type"], points=64, adjust=2.0,
+                      row_bound=event_rows(spark, sf))
+    return rounded(rounded(out, 9, "density"), 6, "x")
 
 
 @register("mixed_summary", """WITH t AS (
@@ -231,17 +282,18 @@ def mixed_summary(spark, sf):
     return rounded(out, 4, "value")
 
 
-SUMMARY_COLUMNS = ["event_id", "user_id", "value"]
+SUMMARY_COLUMNS = {"event_id": "event_id", "user_id": "user_id", "value": "value", "ts": "epoch(ts)"}
 
 
 @register("table_summary", "WITH long AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM events" for c in SUMMARY_COLUMNS) + """)
+    f"SELECT '{c}' AS variable, CAST({e} AS DOUBLE) AS value FROM events" for c, e in SUMMARY_COLUMNS.items()) + """)
 SELECT variable, COUNT(value) AS n, ROUND(AVG(value), 4) AS mean, ROUND(STDDEV_SAMP(value), 4) AS sd,
   MIN(value) AS min, MAX(value) AS max, COUNT(*) FILTER (WHERE value IS NULL) AS n_missing,
   ROUND(COUNT(*) FILTER (WHERE value IS NULL) * 100.0 / COUNT(*), 4) AS pct_missing,
   ROUND(quantile_cont(value, 0.25), 4) AS q25, ROUND(quantile_cont(value, 0.5), 4) AS median,
-  ROUND(quantile_cont(value, 0.75), 4) AS q75 FROM long GROUP BY variable""")
+  ROUND(quantile_cont(value, 0.75), 4) AS q75 FROM long GROUP BY variable""" + "".join(
+    f""" UNION ALL SELECT '{c}', COUNT({c}), NULL, NULL, NULL, NULL, COUNT(*) - COUNT({c}),
+  ROUND((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 4), NULL, NULL, NULL FROM events""" for c in ("event_type", "props")))
 def table_summary(spark, sf):
-    out = profile.column_profile(table(spark, sf, "events"), SUMMARY_COLUMNS, profile.QUARTILES,
-                                 row_bound=event_rows(spark, sf))
+    out = profile.table_summary(table(spark, sf, "events"), profile.QUARTILES, row_bound=event_rows(spark, sf))
     return rounded(out, 4, "mean", "sd", "pct_missing", "q25", "median", "q75")

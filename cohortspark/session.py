@@ -48,9 +48,13 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
     Later plans start from the written table, whichever executors are lost.
     ``partition_by`` lays rows out in one folder per value of a column with
-    few values, so that filters on it skip folders.
+    few values, so that filters on it skip folders. The table is removed when the
+    application ends.
     """
     path = shared_path(df.sparkSession, "cut")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

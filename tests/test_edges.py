@@ -182,7 +182,20 @@ def test_text_helpers(spark):
         scalar.p_value_text(F.col("p")).alias("p"), scalar.percent_text(F.col("x") * 100).alias("x"),
         scalar.thousands_text(F.col("x") * 1000000).alias("k"))
     assert values(out, "a", "b", "p", "x", "k") == [
-        ("hb", "hb", "< 2e-16", "1.2%", "12,300"), ("hb", "hb", "4.00e-04", "50.0%", "500,000")]
+        ("hb", "hb", "< 2e-16", "1.2%", "12,300"), ("hb", "hb", "4e-04", "50.0%", "500,000")]
+
+
+def test_p_values_have_three_significant_digits(spark):
+    texts = {1.0: "1", 0.5: "0.5", 0.0123: "0.0123", 0.01234: "0.0123", 0.000123: "0.000123", 0.0001: "1e-04", 0.00012: "0.00012",
+             0.00001234: "1.23e-05", 1e-17: "< 2e-16", 0.099999: "0.1"}
+    df = spark.createDataFrame([(p,) for p in texts], "p double")
+    assert {r["p"]: r["t"] for r in df.select("p", scalar.p_value_text(F.col("p")).alias("t")).collect()} == texts
+
+
+def test_two_sided_p(spark):
+    df = spark.createDataFrame([(z / 4,) for z in range(-30, 31)], "z double")
+    for r in df.select("z", scalar.two_sided_p(F.col("z")).alias("p")).collect():
+        assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), rel=2e-7)
 
 
 def test_constant_and_single_groups(spark):
@@ -211,9 +224,15 @@ def test_histogram_is_a_density(spark):
 
 
 def test_kernel_density_integrates_to_one(spark):
-    df = spark.range(2000).select((F.sin(F.col("id")) * 20 + 50).alias("v"))
-    curve = profile.kde(df, "v", 0.0, 100.0, bins=200, points=201, adjust=1.0).collect()
-    assert sum(r["density"] for r in curve) * 0.5 == pytest.approx(1.0, abs=1e-3)
+    df = spark.range(2000).select((F.sin(F.col("id")) * 20 + 50).alias("v"), (F.col("id") % 2).alias("g"))
+    for groups in ([], ["g"]):
+        curves = {}
+        for r in profile.kde(df, "v", groups=groups, points=201).collect():
+            curves.setdefault(tuple(r[g] for g in groups), []).append((r["x"], r["density"]))
+        assert len(curves) == 1 + len(groups)
+        for points in curves.values():
+            gap = points[1][0] - points[0][0]
+            assert sum(d for _, d in points) * gap == pytest.approx(1.0, abs=2e-3)
 
 
 def test_missingness_and_binary_profile(spark):
