@@ -60,14 +60,6 @@ def feature_ladder(spark, sf):
     return evaluate.incremental_gain(wide.withColumn("place", order), "model", "place", "roc_auc_mean")
 
 
-@register("out_of_fold_predictions", "SELECT doc_id, quality AS y FROM labels JOIN documents USING (doc_id)")
-def out_of_fold_predictions(spark, sf):
-    """Every labelled document is scored exactly once."""
-    run = models.cross_validate(documents(spark, sf), "doc_id", "y", FEATURE_SETS["Size"], "LR (glm)",
-                                feature_set="Size", row_bound=label_rows(spark, sf))
-    return run.predictions.filter(F.col("pred_yes").between(0, 1)).select("doc_id", "y")
-
-
 TRAIN = """f AS (SELECT doc_id, quality AS y, CAST((ROW_NUMBER() OVER (PARTITION BY quality
   ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels), d AS (
   SELECT f.doc_id, f.fold, f.y, lang, n_chars::DOUBLE AS n_chars,
@@ -108,3 +100,29 @@ def factor_logit_cv(spark, sf):
     run = models.cross_validate(plain_documents(spark, sf), "doc_id", "y", ["lang"], "LR (glm)",
                                 nominal=["lang"], row_bound=label_rows(spark, sf))
     return rounded(run.predictions.select("doc_id", "fold", "y", "pred_yes"), 5, "pred_yes")
+
+
+FACTOR_SQL = f"""WITH {TRAIN}, r AS (
+  SELECT k.fold, lang, AVG(y) AS rate FROM d CROSS JOIN (SELECT UNNEST(range(0, 5)) AS fold) k
+  WHERE d.fold <> k.fold GROUP BY k.fold, lang)
+SELECT doc_id, y, ROUND(rate, 5) AS pred_yes, ROUND(1 - rate, 5) AS pred_no
+FROM d JOIN r ON d.fold = r.fold AND d.lang = r.lang"""
+
+
+@register("out_of_fold_predictions", FACTOR_SQL)
+def out_of_fold_predictions(spark, sf):
+    """Every labelled document is scored exactly once, by the folds it is not in."""
+    run = models.cross_validate(plain_documents(spark, sf), "doc_id", "y", ["lang"], "LR (glm)", feature_set="Lang",
+                                nominal=["lang"], row_bound=label_rows(spark, sf))
+    return rounded(run.predictions.select("doc_id", "y", "pred_yes", "pred_no"), 5, "pred_yes", "pred_no")
+
+
+@register("enet_full_penalty", f"""WITH {TRAIN}, r AS (
+  SELECT k.fold, AVG(y) AS rate FROM d CROSS JOIN (SELECT UNNEST(range(0, 5)) AS fold) k
+  WHERE d.fold <> k.fold GROUP BY k.fold)
+SELECT doc_id, y, ROUND(rate, 5) AS pred_yes FROM d JOIN r ON d.fold = r.fold""")
+def enet_full_penalty(spark, sf):
+    """A penalty beyond every gradient leaves the training rate of the other folds."""
+    run = models.cross_validate(plain_documents(spark, sf), "doc_id", "y", ["n_chars", "lang"], "LR (glmnet)",
+                                nominal=["lang"], row_bound=label_rows(spark, sf), penalty=10.0)
+    return rounded(run.predictions.select("doc_id", "y", "pred_yes"), 5, "pred_yes")
