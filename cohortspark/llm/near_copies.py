@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5      # a pair at 0.8 is missed by every band once in 20,000
 SIZE = BANDS * ROWS
 SLACK = 4                # standard errors below SIMILARITY at which signatures rule a pair out
-HUB_ROUNDS = 2
+TILE = 1024              # rows of a bucket's class that meet others in one task
 
 CARD = "doc_id long, k1 long, k2 long, sig binary"
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +132,7 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 def likely(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose signatures do not rule the similarity out."""
-    least = SIZE * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / SIZE))
+    least = least_equal(similarity)
 
     def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,6 +159,132 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return rows.select("a", "b", "x", "y").mapInArrow(comparing, "a long, b long")
 
 
+def least_equal(similarity: float) -> float:
+    """Equal components below which a pair of signatures rules the similarity out."""
+    return SIZE * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / SIZE))
+
+
+def meeting(members: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several classes, dealt so that every two classes meet.
+
+    A bucket's largest class and the others are cut into tiles of ``TILE`` rows.
+    Tiles of the others meet each other and those of the largest class, so a
+    class never meets itself and the rows sent follow the bucket's rows times
+    the tiles of the others. Buckets of one tile each are binned.
+    """
+    shape = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"),
+        F.sum("n").alias("total")).where("most < total")
+    mixed_up = settled(members.join(shape, ["band", "key"]))
+    bins = max(1, mixed_up.count() // TILE)
+    p = F.ceil(F.col("most") / TILE).cast("int")
+    q = F.ceil((F.col("total") - F.col("most")) / TILE).cast("int")
+    major = F.col("component") == F.col("major")
+    tile = F.pmod(F.xxhash64("rep"), F.when(major, p).otherwise(q)).cast("int")
+    mixed_up = mixed_up.withColumns({"p": p, "q": q, "major": major, "tile": tile, "lone": (p == 1) & (q == 1)})
+
+    def place(kind, x, y):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+
+    t, zero = F.col("tile"), F.lit(0)
+    with_major = F.transform(F.sequence(zero, F.col("p") - 1), lambda x: place(1, x, t))
+    with_others = F.transform(F.sequence(zero, F.col("q") - 1), lambda z: place(2, F.least(t, z), F.greatest(t, z)))
+    places = (F.when(F.col("lone"), F.array(place(0, zero, zero)))
+              .when(F.col("major"), F.transform(F.sequence(zero, F.col("q") - 1), lambda y: place(1, t, y)))
+              .otherwise(F.concat(with_major, with_others)))
+    rows = mixed_up.select("band", "key", "rep", "component", "major", "tile", "lone", F.inline(places))
+    group = F.xxhash64("band", "key", "kind", "x", "y")
+    return rows.select("band", "rep", "component", "major", "tile", "kind", (F.col("x") != F.col("y")).alias("across"),
+                       group.alias("gid"), F.when(F.col("lone"), F.pmod(group, F.lit(bins))).otherwise(group).alias("place"))
+
+
+def buckets(group: pa.Table) -> Iterator[pa.Table]:
+    group = group.sort_by("gid").combine_chunks()
+    gid = group.column("gid").to_numpy()
+    edges = np.append(np.flatnonzero(np.append(True, gid[1:] != gid[:-1])), len(gid))
+    for a, b in zip(edges, edges[1:]):
+        yield group.slice(a, b - a)
+
+
+def likely_pairs(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a bucket's rows in different classes that their signatures do not rule out: i, j, equal components.
+
+    A pair that shares several bands counts in the first of them.
+    """
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, SIZE)
+    component, major, tile = (rows.column(c).to_numpy() for c in ("component", "major", "tile"))
+    kind, across, band = (rows.column(c)[0].as_py() for c in ("kind", "across", "band"))
+    out = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, len(sig), 128):
+        to = min(at + 128, len(sig))
+        equal = (sig[at:to, None] == sig[None, at:]).sum(axis=2)
+        good = (equal >= least) & (component[at:to, None] != component[None, at:])
+        if kind == 1:
+            good &= major[at:to, None] != major[None, at:]
+        elif kind == 2 and across:
+            good &= tile[at:to, None] != tile[None, at:]
+        i, j = np.nonzero(np.triu(good, 1))
+        first = (sig[i + at] == sig[j + at]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        i, j = i[first], j[first]
+        out.append((i + at, j + at, equal[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def linked(rows: pa.Table, least: float, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between the classes of a bucket, found with whole texts; the likeliest pairs first."""
+    i, j, equal = likely_pairs(rows, least)
+    w = split(rows.column("text").combine_chunks())
+    doc, keys, weights = weighted(*shingles(w, w.hashes()))
+    first = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+    total = np.diff(np.concatenate([[0], np.cumsum(weights)])[first])
+    component, rep = rows.column("component").to_pylist(), rows.column("rep").to_pylist()
+    root = {c: c for c in component}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for k in np.argsort(-equal, kind="stable"):
+        a, b = i[k], j[k]
+        x, y = find(component[a]), find(component[b])
+        if x == y or not total[a] or not total[b]:
+            continue
+        ka, kb = keys[first[a]:first[a + 1]], keys[first[b]:first[b + 1]]
+        place = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+        both = kb[place] == ka
+        common = np.minimum(weights[first[a]:first[a + 1]][both], weights[first[b]:first[b + 1]][place[both]]).sum()
+        if common >= (similarity - 1e-12) * (total[a] + total[b] - common):
+            root[max(x, y)] = min(x, y)
+            yield rep[a], rep[b]
+
+
+def across_classes(members: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes of ``members(band, key, rep, component)`` that share a bucket.
+
+    Signatures first pick the rows with a likely partner in another class;
+    only those meet again with their whole texts. Pairs never leave a task, only
+    rows and links that join classes do.
+    """
+    least = least_equal(similarity)
+
+    def picking(group: pa.Table) -> pa.Table:
+        parts = [group.slice(0, 0)]
+        for rows in buckets(group):
+            i, j, _ = likely_pairs(rows, least)
+            parts.append(rows.take(pa.array(np.unique(np.concatenate([i, j])))))
+        return pa.concat_tables(parts)
+
+    def linking(group: pa.Table) -> pa.Table:
+        links = [x for rows in buckets(group) for x in linked(rows, least, similarity)]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = meeting(members).join(sigs, "rep")
+    picked = settled(rows.groupBy("place").applyInArrow(picking, rows.schema))
+    return picked.join(texts, "rep").groupBy("place").applyInArrow(linking, "a long, b long")
+
+
 def apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
     """Pairs (a, b) that are not in one class yet."""
     if found is None:
@@ -179,8 +305,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Copies (equal words) are one node, brought together by an aggregate before
     any pair is made. In a band's bucket members are paired with a hub, so the
     pairs follow the members, twice with different hubs. What still lies in
-    different classes is then paired across classes, so no proposed pair is left out
-    and none is made inside a class. Signatures rule most pairs out before the
+    different classes is then compared across classes inside tasks, so no proposed
+    pair is left out and none is made inside a class. Signatures rule most pairs out before the
     whole texts of the others meet. Every step is a written table.
     """
     known = settled(cards(docs).where("doc_id IS NOT NULL AND k1 IS NOT NULL"))
@@ -206,20 +332,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if hub is not None:
             pairs = filed.where(F.col("rep") != F.col(hub)).select(
                 F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")).distinct()
-            pairs = apart(pairs, found)
+            new = settled(verified(likely(apart(pairs, found), sigs, similarity), texts, similarity))
         else:
             members = filed.select("band", "key", "rep").join(
                 found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
                 "component", F.coalesce("component", "rep"))
-            mixed_up = members.groupBy("band", "key").agg(
-                F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band", "key")
-            members = settled(members.join(mixed_up, ["band", "key"]))
-            other = members.select("band", "key", F.col("rep").alias("b"), F.col("component").alias("of"))
-            pairs = members.join(other, ["band", "key"]).where("component <> of AND rep < b").select(
-                F.col("rep").alias("a"), "b").distinct()
-        new = settled(verified(likely(pairs, sigs, similarity), texts, similarity))
-        edges = edges.union(new)
-        found = components(edges)
+            new = settled(across_classes(members, sigs, texts, similarity))
+        if found is None or not new.isEmpty():
+            edges = edges.union(new)
+            found = settled(components(edges))
     of = F.coalesce("component", "rep")
     return owner.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(of).alias("class_id"))

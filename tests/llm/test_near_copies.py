@@ -103,6 +103,18 @@ def test_classes_against_all_pairs(docs_of):
     assert all(r.kept == (r.doc_id == expected[r.doc_id]) for r in rows)
 
 
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_dense_group_without_a_hub(docs_of, monkeypatch, tile):
+    """Many texts around the threshold: no hub reaches all, classes must still be those of all pairs."""
+    monkeypatch.setattr(nc, "TILE", tile)
+    rng = random.Random(12)
+    base = ["w%d" % i for i in range(60)]
+    texts = [" ".join(base[:-k] + ["x%d" % rng.randrange(9) for _ in range(k)]) + " again and" * rng.randrange(3, 30)
+             for k in (rng.randrange(1, 8) for _ in range(70))]
+    rows = nc.judge(docs_of(texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == classes_by_hand(dict(enumerate(texts)))
+
+
 def test_op5_on_the_given_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = nc.op5(spark, FOLDER).collect()
