@@ -16,6 +16,19 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows; reading one whose key occurs more than once is an error.
+
+    For the right side of a join that must not multiply rows. No shuffle is
+    added when the table is already grouped by the keys.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    said = F.concat(F.lit("several rows for " + ", ".join(keys) + " = "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    held = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__row"))
+    checked = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(said))
+    return held.withColumn("__row", checked).select(*keys, "__row.*").select(df.columns)
+
+
 def present(df: DataFrame, columns: list[str]) -> list[str]:
     """The requested columns that exist, in request order."""
     return [c for c in columns if c in df.columns]

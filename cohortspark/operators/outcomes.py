@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixed_values as fv
 from cohortspark.functions.derive import aki_columns, composite
+from cohortspark.operators.clean import require_unique
 from cohortspark.operators.lookups import measurements_in_window
 from cohortspark.operators.skew import POLICY, SkewPolicy
 
@@ -65,9 +66,9 @@ def outcome_flags(cohort: DataFrame, measures: DataFrame, key: str, *, death: st
 
     Kidney flags are NULL without a baseline or a later value; heart and
     support flags are FALSE when unmeasured. The composite keeps NULL, the
-    filled one reads NULL as no event.
+    filled one reads NULL as no event. ``measures`` must have one row per key.
     """
-    df = cohort.join(measures, key, "left")
+    df = cohort.join(require_unique(measures, [key]), key, "left")
     staged = F.coalesce(F.col("baseline_known"), F.lit(False)) & (F.coalesce("n_cr_postop", F.lit(0)) > 0)
     kidney = aki_columns(F.col("baseline_cr"), F.col("peak_cr"))
     measured = F.coalesce(F.col("n_troponin"), F.lit(0)) > 0

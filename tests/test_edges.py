@@ -256,3 +256,10 @@ def test_missing_columns_are_named(spark):
         clean.require_columns(spark.range(1), ["id", "nope"])
     assert clean.present(spark.range(1), ["nope", "id"]) == ["id"]
     assert math.isclose(fv.MINUTES_PER_DAY, 24 * fv.MINUTES_PER_HOUR)
+
+
+def test_a_repeated_right_key_is_refused(spark):
+    once = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    assert sorted(map(tuple, clean.require_unique(once, ["k"]).collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="several rows for k = 1"):
+        clean.require_unique(once.union(once.limit(1)), ["k"]).collect()
