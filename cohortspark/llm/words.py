@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000  # text handled at once; a longer text is handled alone
+CHUNK_BYTES = 1_000_000  # text handled at once, which bounds a task's memory; a longer text is handled alone
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
