@@ -285,15 +285,6 @@ def across_classes(members: DataFrame, sigs: DataFrame, texts: DataFrame, simila
     return picked.join(texts, "rep").groupBy("place").applyInArrow(linking, "a long, b long")
 
 
-def apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that are not in one class yet."""
-    if found is None:
-        return pairs
-    for side in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of")), side, "left")
-    return pairs.where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id), one row per id that has words; class_id is the smallest id linked to it.
 
@@ -303,8 +294,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     and rows without id link with nothing and do not appear.
 
     Copies (equal words) are one node, brought together by an aggregate before
-    any pair is made. In a band's bucket members are paired with a hub, so the
-    pairs follow the members, twice with different hubs. What still lies in
+    any pair is made. In a band's bucket members are paired with two hubs, its
+    smallest and its largest id, so the pairs follow the members. What still lies in
     different classes is then compared across classes inside tasks, so no proposed
     pair is left out and none is made inside a class. Signatures rule most pairs out before the
     whole texts of the others meet. Every step is a written table.
@@ -327,20 +318,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # an id with several texts holds their classes together
     many = owner.groupBy("doc_id").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p <> q")
     edges = settled(owner.join(many, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = None
-    for hub in ("least", "most", None):
-        if hub is not None:
-            pairs = filed.where(F.col("rep") != F.col(hub)).select(
-                F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")).distinct()
-            new = settled(verified(likely(apart(pairs, found), sigs, similarity), texts, similarity))
-        else:
-            members = filed.select("band", "key", "rep").join(
-                found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-                "component", F.coalesce("component", "rep"))
-            new = settled(across_classes(members, sigs, texts, similarity))
-        if found is None or not new.isEmpty():
-            edges = edges.union(new)
-            found = settled(components(edges))
+    hubs = F.explode(F.array("least", "most"))
+    pairs = filed.select("rep", hubs.alias("hub")).where("rep <> hub").select(
+        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    edges = edges.union(settled(verified(likely(pairs, sigs, similarity), texts, similarity)))
+    found = settled(components(edges))
+    members = filed.select("band", "key", "rep").join(
+        found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    new = settled(across_classes(members, sigs, texts, similarity))
+    if not new.isEmpty():
+        found = settled(components(edges.union(new)))
     of = F.coalesce("component", "rep")
     return owner.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(of).alias("class_id"))
