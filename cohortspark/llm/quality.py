@@ -138,7 +138,8 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         hashes = w.hashes()
         kinds = [(b, np.full(len(b), 1 / max(1, len(b)))) for b, _ in grams(w, hashes)]
         buckets, inverse = np.unique(np.concatenate([b for b, _ in kinds]), return_inverse=True)
-        out.append((buckets, np.bincount(inverse, np.concatenate([s for _, s in kinds]), len(buckets))))
+        share = np.bincount(inverse, np.concatenate([s for _, s in kinds]), len(buckets))
+        out.append((buckets, share.astype(np.float32)))  # the whole sample lies in memory
     return out
 
 
