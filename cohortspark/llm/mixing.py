@@ -116,8 +116,8 @@ def repeated(mixed: DataFrame) -> DataFrame:
 @register("op6_source_mix")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    # the text ends at its word count; only narrow rows are shuffled
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    # the texts are read once, for their word counts; the mix reads narrow rows
+    narrow = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
     return mix(narrow, size=F.col("words")).select(
         F.col("rec.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"))
