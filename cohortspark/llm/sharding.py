@@ -45,7 +45,7 @@ def shuffled(records: DataFrame, *, seed: int = SEED, bucket_rows: int = 50_000,
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written.select(  # one short row per bucket
         F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return written.join(offsets, F.col("bucket") == F.col("of")).select(
+    return written.join(F.broadcast(offsets), F.col("bucket") == F.col("of")).select(
         "offset", F.posexplode("records").alias("i", "r")).select(
         F.col("r.rec").alias("rec"), (F.col("offset") + F.col("i")).alias("position"))
 
@@ -73,9 +73,9 @@ def write_shards(sharded: DataFrame, path: str, n: int = SHARDS, file_rows: int
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     text = F.coalesce("text", F.lit(""))
-    records = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return shards(records).select(
-        F.col("rec.doc_id").alias("doc_id"), F.col("rec.size").alias("size"),
-        F.col("rec.text_crc32").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+    records = docs.select("doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"))
+    moved = F.coalesce("rec.text", F.lit(""))
+    return shards(records, weight="size").select(
+        F.col("rec.doc_id").alias("doc_id"), (F.octet_length(moved) + 1).cast("long").alias("size"),
+        F.crc32(moved).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

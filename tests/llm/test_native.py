@@ -161,3 +161,19 @@ def test_numbering(spark):
     expected = sorted(((i % 5 if i % 7 else None, i) for i in range(200)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert [(r.a, r.b) for r in sorted(rows, key=lambda r: r["rank"])] == expected
     assert sorted(r["rank"] for r in rows) == list(range(200))
+
+
+def test_op9_moves_whole_documents(spark, monkeypatch):
+    seen = {}
+
+    def watched(records, **options):
+        seen.update(columns=records.columns, **options)
+        return shards(records, **options)
+
+    shards = sharding.shards
+    monkeypatch.setattr(sharding, "shards", watched)
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = sharding.op9(spark, FOLDER).collect()
+    assert "text" in seen["columns"] and seen["weight"] in seen["columns"]
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {
+        i: (len(t) + 1, zlib.crc32(t)) for i, t in docs.items()}
