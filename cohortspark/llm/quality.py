@@ -103,7 +103,7 @@ def grams(w: Words, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
     for k in CHAR_GRAMS:
         gram = np.zeros(max(0, len(wide) - k + 1), np.uint64)
         for j in range(k):
-            gram |= wide[j:len(wide) - k + 1 + j] << np.uint64(8 * j)
+            gram |= wide[j:j + len(gram)] << np.uint64(8 * j)
         bucket = (((gram + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
         inner = np.ones(len(bucket), bool)   # grams that end in their own text
         for j in range(1, k):

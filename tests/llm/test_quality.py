@@ -97,3 +97,18 @@ def test_edges(spark, docs_of):
 def test_labels_without_two_classes_give_no_model(spark, docs_of, rows):
     labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     assert quality.train(docs_of(["a b c", "d e f"]), labels) is None
+
+
+def test_texts_of_every_short_length():
+    short = ["é漢ab"[:k] for k in range(5)] + ["abcdefgh"[:k] for k in range(9)]
+    good = np.arange(len(short)) % 2 == 0
+    model = quality.fit(pa.array(short * 20), np.tile(good, 20))
+    whole = quality.decide(pa.array([None, *short, *reversed(short)]), model)
+    for k, text in enumerate([None, *short, *reversed(short)]):
+        alone = quality.decide(pa.array([text], pa.string()), model)
+        assert alone["p_good"][0] == pytest.approx(whole["p_good"][k])
+        buckets = [b for b, _ in quality.features(pa.array([text or ""]))]
+        w = split(pa.array([text or ""]))
+        data = (text or "").encode()
+        wanted = sum(max(0, len(data) - n + 1) for n in quality.CHAR_GRAMS)
+        assert sum(len(b) for b, _ in list(quality.grams(w, w.hashes()))[2:]) == wanted and len(buckets) == 1
