@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -107,7 +108,9 @@ def cross_validate(
         return scored.select(row_id, "fold", label, _positive(scored).alias("pred_yes"))
 
     with ThreadPool(min(parallelism, folds)) as pool:
-        parts = pool.map(inheritable_thread_target(table.sparkSession)(one_fold), range(folds))
+        # wrapped once per fold: a wrapper holds one copy of the thread's properties
+        started = [inheritable_thread_target(table.sparkSession)(partial(one_fold, k)) for k in range(folds)]
+        parts = pool.map(lambda start: start(), started)
     predictions = cut(stack_rows(*parts).withColumns({
         "pred_no": 1.0 - F.col("pred_yes"), "model": F.lit(model), "feature_set": F.lit(feature_set)}))
     by_fold = metric_rows(predictions, ["model", "feature_set", "fold"], label, "pred_yes", row_bound=row_bound)
