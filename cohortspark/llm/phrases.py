@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from cohortspark.llm.registry import register
 from cohortspark.llm.tables import numbered, settled, table
 from cohortspark.llm.words import CHUNK_BYTES, binary, buffers, gathered
-from cohortspark.operators.skew import SkewPolicy, attach
 
 LEAST = 30               # occurrences of a candidate
 LONGEST = 4              # words
@@ -32,7 +31,7 @@ TOP = 2_000              # phrases reported for each language
 TRIE_BYTES = 4_000_000   # of the phrases of one trie, which bounds each broadcast
 HELD = 1_000_000         # distinct neighbours that a task holds before it reports them
 SEED_BLOCK = 1_000       # phrases of which the driver knows one size
-POLICY = SkewPolicy(task_rows=20_000, broadcast_rows=20_000)
+MOST_LANGS = 10_000      # of a broadcast table of languages
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -334,40 +333,52 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def identified(phrases: DataFrame) -> DataFrame:
-    """(id, lang, phrase), ids by language and phrase, written once."""
-    return settled(numbered(phrases.select("lang", "phrase"), [F.col("lang"), F.col("phrase")], "id"))
+    """The phrases with ids by language and phrase, written once."""
+    return settled(numbered(phrases, [F.col("lang"), F.col("phrase")], "id"))
 
 
 def frequent(docs: DataFrame, counted: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
-             trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """(lang, phrase, words, a): every phrase of up to ``longest`` words that occurs ``least`` times or more.
+             trie_bytes: int = TRIE_BYTES) -> list[DataFrame]:
+    """For each number of words, the phrases that occur ``least`` times or more.
+
+    (id, lang, phrase, a, heads, tails, first, rest): a are all occurrences; heads and tails the
+    occurrences of the first 1, 2, ... and of the last 1, 2, ... words; first and rest the ids,
+    one level down, of the phrase without its last and without its first word.
 
     Counts cover all texts. A level's candidates are the phrases whose two
-    parts, without the last and without the first word, are candidates that follow each other
-    ``least`` times or more; no frequent phrase is left out. ``counted`` are the words that may be frequent.
+    parts are frequent and follow each other ``least`` times or more; no frequent phrase
+    is left out. ``counted`` are the words that may be frequent.
     """
-    known = identified(counted.where((F.col("n") >= least) & (F.col("phrase") != "")))
-    out = None
+    none, nobody = F.array().cast("array<long>"), F.lit(None).cast("long")
+    known = identified(counted.where((F.col("n") >= least) & (F.col("phrase") != "")).select(
+        "lang", "phrase", none.alias("heads"), none.alias("tails"), nobody.alias("first"), nobody.alias("rest")))
+    levels = []
     for words in range(1, longest + 1):
         counts = settled(walk(docs, known, words, trie_bytes))
         a = counts.where("next IS NULL AND n >= " + str(least)).select("id", F.col("n").alias("a"))
-        level = known.join(a, "id").select("lang", "phrase", F.lit(words).alias("words"), "a")
-        out = level if out is None else out.union(level)
+        levels.append(settled(known.join(a, "id")))
         if words == longest:
             break
+        left, right = (levels[-1].select(*[F.col(c).alias(side + c) for c in ("id", "lang", "phrase", "a", "heads", "tails")])
+                       for side in ("l_", "r_"))
         pairs = counts.where(F.col("next").isNotNull() & (F.col("n") >= least)).select("id", "next")
-        tail = F.substring_index("after", " ", -1)
-        longer = pairs.join(known, "id").join(
-            known.select(F.col("id").alias("next"), F.col("phrase").alias("after")), "next").select(
-            "lang", F.concat_ws(" ", "phrase", tail).alias("phrase"))
-        known = identified(longer)
-    return settled(out)
+        known = identified(pairs.join(left, F.col("id") == F.col("l_id")).join(right, F.col("next") == F.col("r_id")).select(
+            F.col("l_lang").alias("lang"), F.concat_ws(" ", "l_phrase", F.substring_index("r_phrase", " ", -1)).alias("phrase"),
+            F.array_append("l_heads", F.col("l_a")).alias("heads"), F.array_append("r_tails", F.col("r_a")).alias("tails"),
+            F.col("l_id").alias("first"), F.col("r_id").alias("rest")))
+    return levels
+
 
+def score_of(factor: int, a: Column, parts: Column) -> Column:
+    """floor(factor * a / parts) over 38-digit integers."""
+    return F.call_function("div", a.cast("decimal(20,0)") * F.lit(factor).cast("decimal(17,0)"), parts)
 
-def score_of(factor: int) -> Column:
-    """floor(factor * a / (l + r)) over 38-digit integers; every part occurs where the phrase does."""
-    return F.expr(f"CAST(a AS DECIMAL(20, 0)) * CAST({factor} AS DECIMAL(17, 0)) DIV "
-                  "(CAST(l AS DECIMAL(20, 0)) + CAST(r AS DECIMAL(20, 0)))")
+
+def cut_of(k: Column, words: int, factor: int) -> Column:
+    """Score and parts of a phrase cut behind its first ``k`` words."""
+    left, right = F.get("heads", (k - 1).cast("int")), F.get("tails", (F.lit(words - 1) - k).cast("int"))
+    both = left.cast("decimal(20,0)") + right.cast("decimal(20,0)")
+    return F.struct(score_of(factor, F.col("a"), both).alias("score"), k.alias("k"), left.alias("l"), right.alias("r"))
 
 
 def collocations(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, factor: int = FACTOR,
@@ -390,24 +401,21 @@ def collocations(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
     """
     singles = settled(word_counts(docs).where((F.col("n") >= least) | (F.col("phrase") == "")))
     n = singles.where("phrase = ''").select("lang", "n")
-    counted = frequent(docs, singles, least=least, longest=longest, trie_bytes=trie_bytes)
-    candidates = counted.where("words > 1")
-    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).withColumns({
-        "first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - words)")})
-    for part, name in (("first", "l"), ("rest", "r")):
-        known = counted.select("lang", F.col("phrase").alias(part), F.col("a").alias(name))
-        cuts = attach(cuts, known, ["lang", part], policy=POLICY)
-    best = cuts.withColumn("score", score_of(factor)).groupBy("lang", "phrase", "words", "a").agg(
-        F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    inner = candidates.where("words > 2").select("lang", F.col("a").alias("longer"), F.explode(F.expr(
-        "flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), "
-        "i -> array_join(slice(split(phrase, ' '), i, m), ' '))))")).alias("phrase"))
-    over = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    free = best.join(over, ["lang", "phrase"], "left").where(
-        F.coalesce(F.col("longer").cast("decimal(38,0)") * 100 < F.col("a").cast("decimal(38,0)") * covered, F.lit(True)))
+    levels = frequent(docs, singles, least=least, longest=longest, trie_bytes=trie_bytes)
+    out = None
+    for words, level in enumerate(levels[1:], 2):
+        cuts = F.transform(F.sequence(F.lit(1), F.lit(words - 1)), lambda k: cut_of(k, words, factor))
+        scored = level.select("id", "lang", "phrase", "a", F.array_min(cuts).alias("cut"))
+        if words < longest:   # of all longer phrases around it, one a word longer occurs most often
+            longer = levels[words]
+            over = longer.select(F.col("first").alias("id"), "a").union(longer.select("rest", "a")).groupBy("id").agg(
+                F.max("a").alias("longer"))
+            inside = F.col("longer").cast("decimal(38,0)") * 100 >= F.col("a").cast("decimal(38,0)") * covered
+            scored = scored.join(over, "id", "left").where(F.coalesce(~inside, F.lit(True))).drop("longer")
+        out = scored if out is None else out.union(scored)
     place = F.expr("row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase)")
-    ranked = free.withColumn("rank", place).where(F.col("rank") <= top)
-    return ranked.join(F.broadcast(n) if n.count() <= POLICY.broadcast_rows else n, "lang").select(
+    ranked = out.withColumn("rank", place).where(F.col("rank") <= top)
+    return ranked.join(F.broadcast(n) if n.count() <= MOST_LANGS else n, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"),
         F.col("cut.r").alias("r"), "n", F.col("cut.score").cast("long").alias("score"))
 

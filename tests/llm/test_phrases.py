@@ -111,6 +111,7 @@ def test_empty_table_and_extra_columns(spark):
 
 
 def test_scores_stay_exact_beyond_64_bits(spark):
-    a = spark.range(1).selectExpr("9000000000000000000L AS a", "9100000000000000000L AS l", "9100000000000000000L AS r")
-    (row,) = a.select(phrases.score_of(phrases.FACTOR).alias("s")).collect()
-    assert row.s == 2_000_000 * 9 * 10**18 // (2 * 91 * 10**17)
+    a = spark.range(1).selectExpr("9000000000000000000L AS a", "array(9100000000000000000L) AS heads",
+                                  "array(9100000000000000000L) AS tails")
+    (row,) = a.select(phrases.cut_of(F.lit(1), 2, phrases.FACTOR).alias("cut")).collect()
+    assert row.cut.score == 2_000_000 * 9 * 10**18 // (2 * 91 * 10**17)
