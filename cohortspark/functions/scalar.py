@@ -122,7 +122,7 @@ def thousands_text(value: Column, digits: int = 0) -> Column:
 
 def p_value_text(p: Column) -> Column:
     """Three significant digits without trailing zeros, in the shorter of plain and scientific notation."""
-    spelled = F.format_string("%.2e", p)
+    spelled = F.when(p.isNotNull(), F.format_string("%.2e", p))
     digits = F.regexp_replace(F.substring_index(spelled, "e", 1), r"\.?0+$", "")
     power = F.substring_index(spelled, "e", -1).cast("int")
     bare = F.replace(digits, F.lit("."), F.lit(""))

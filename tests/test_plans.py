@@ -9,7 +9,9 @@ import pytest
 from cohortspark.plans import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FITTED = {n for n in QUERIES if n.endswith("_cv") or n in ("feature_ladder", "out_of_fold_predictions", "enet_full_penalty")}
+FITTED = {n for n in QUERIES if n.endswith("_cv") or n in (
+    "feature_ladder", "feature_ladder_trees", "out_of_fold_predictions", "enet_full_penalty", "enet_coefficients",
+    "coefficients_several")}
 
 
 def plan(spark, capsys, name):
