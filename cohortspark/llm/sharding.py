@@ -38,18 +38,28 @@ def shuffled(records: DataFrame, *, seed: int = SEED, bucket_rows: int = 50_000,
     held = records.select(
         F.struct(*records.columns).alias("rec"), F.monotonically_increasing_id().alias("at"))
     mark = F.xxhash64(F.lit(seed), F.col("rec"), F.col("at"))
-    filled = (held.select("rec", "at", F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket"))
-              .groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("at", "rec"))).alias("records")))
-    written = settled(filled.repartitionById(buckets, F.col("bucket")).select(
+    scattered = held.select("rec", "at", F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket")).repartitionById(
+        buckets, F.col("bucket"))  # the aggregate finds its bucket whole, so the records move once
+    filled = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("at", "rec"))).alias("records"))
+    written = settled(filled.select(
         "bucket", F.size("records").alias("n"), F.shuffle("records", F.lit(seed)).alias("records")))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written.select(  # one short row per bucket
-        F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return written.join(F.broadcast(offsets), F.col("bucket") == F.col("of")).select(
+    return written.join(F.broadcast(offsets(written.select("bucket", "n"))), F.col("bucket") == F.col("of")).select(
         "offset", F.posexplode("records").alias("i", "r")).select(
         F.col("r.rec").alias("rec"), (F.col("offset") + F.col("i")).alias("position"))
 
 
+def offsets(sizes: DataFrame, run: int = 1_024) -> DataFrame:
+    """(of, offset): records before each bucket, summed by runs of buckets first; two short numbers a bucket."""
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.col("bucket") / run)
+    runs = sizes.groupBy(part.alias("run")).agg(F.sum("n").alias("n")).select(
+        F.col("run").alias("of_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = Window.partitionBy(part).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("bucket", part.alias("run"), F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("inside")).join(
+        runs, F.col("run") == F.col("of_run")).select(
+        F.col("bucket").alias("of"), (F.col("start") + F.col("inside")).alias("offset"))
+
+
 def shards(records: DataFrame, n: int = SHARDS, **options) -> DataFrame:
     """``rec``, ``shard`` and ``slot``: record ``p`` of the random order goes to shard ``p mod n``.
 
