@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cohortspark.operators.clean import require_columns
+from cohortspark.sources.guard import require_aggregates, small_cells
 
 
 def _schema(**kinds) -> T.StructType:
@@ -66,8 +67,16 @@ class Snapshots:
     def read(self, spark: SparkSession, name: str, version: int) -> DataFrame:
         return spark.read.parquet(self.path(name, version))
 
-    def share(self, df: DataFrame, name: str) -> str:
-        """Aggregated results go to the shareable root as CSV."""
+    def share(self, df: DataFrame, name: str, *, count: str | None = None, least: int = 1,
+              extremes: bool = True) -> str:
+        """Aggregated results go to the shareable root as CSV; rows are refused.
+
+        ``guard.row_paths`` tells what counts as rows. ``count`` names the column of
+        subjects behind each line: a line of fewer than ``least`` is refused, too.
+        """
+        require_aggregates(df, extremes=extremes)
+        if count is not None and not small_cells(df, count, least).isEmpty():
+            raise PermissionError(f"{name}: lines of fewer than {least} subjects")
         target = f"{self.shareable_root}/{name}"
         write_csv(df, target)
         return target
