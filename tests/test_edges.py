@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,21 @@ def test_kernel_density_integrates_to_one(spark):
             assert sum(d for _, d in points) * gap == pytest.approx(1.0, abs=2e-3)
 
 
+def test_kernel_density_is_close_to_the_direct_sum(spark):
+    df = spark.range(3000).select((F.sin(F.col("id")) * 20 + F.pow(F.col("id") % 7, F.lit(2)) + 50).alias("v"))
+    values = np.array([r["v"] for r in df.collect()])
+    for adjust in (1.0, 0.1):
+        rows = profile.kde(df, "v", adjust=adjust, points=300).collect()
+        q25, q75 = np.percentile(values, [25, 75])
+        h = adjust * 0.9 * min(values.std(ddof=1), (q75 - q25) / 1.34) * len(values) ** -0.2
+        x = np.array([r["x"] for r in rows])
+        direct = np.exp(-0.5 * ((x[:, None] - values[None]) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+        cell = (values.max() - values.min() + 14 * h) / 511
+        found = np.array([r["density"] for r in rows])
+        assert np.abs(found - direct).max() < 0.5 * (cell / h) ** 2 * direct.max()
+        assert x[0] == pytest.approx(values.min() - 3 * h)
+
+
 def test_missingness_and_binary_profile(spark):
     df = spark.createDataFrame([(1, None), (0, 2.0), (None, 3.0), (1, 4.0)], "a int, b double")
     assert values(profile.missingness(df, ["a", "b"]), "variable", "n_missing", "pct_missing") == [
