@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.skew import SkewPolicy, balanced_join
 from cohortspark.session import cut
 
+POLICY = SkewPolicy(task_rows=100_000)
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,24 +55,23 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFram
             .drop("_at", "_of", "_offset"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, component), component the smallest node.
 
     Large-star and small-star rounds (both are one aggregate and one join on
     the node): every round hooks neighbours to the smallest one seen, so the
     number of rounds grows with the logarithm of the longest chain; links that
-    are stars already need none. Each round
-    is written to the shared folder. Nodes without an edge do not appear.
+    are stars already need none. A round that is not the last hooks a node
+    to a smaller one, so the sum of the ends falls and the rounds end. Each round
+    is written to the shared folder; the links of a hot node are spread by salt. Nodes
+    without an edge do not appear.
     Rows with a NULL end or ``a = b`` link nothing.
     """
     links = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .where("a <> b").distinct())
-    for _ in range(rounds):
-        if _stars(links):
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                links.select("b", "b").distinct())
+    while not _stars(links):
         links = settled(_star(_star(links, large=True), large=False))
-    raise RuntimeError(f"components do not settle in {rounds} rounds")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
 
 
 def _stars(links: DataFrame) -> bool:
@@ -89,7 +91,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links
     both = both.toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = both.join(least, "u")
+    joined = balanced_join(least, both, ["u"], F.lit(True), ["v"], policy=POLICY)
     moved = joined.where(F.col("v") > F.col("u")) if large else joined.where(F.col("v") != F.col("m"))
     out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
     if large:  # repeated links are dropped by the small star

@@ -3,9 +3,9 @@
 In every pass each vector gets 64 random projection signs, read as one number.
 Vectors are ordered by label and that number, each is compared with a bounded
 window of its neighbours, and pairs that reach the cosine are joined across
-passes into components. The number of passes follows from the rows of a label
-and from what its vectors share; where all pairs cost no more than these
-passes, all pairs of the label are compared.
+passes into components. A label no larger than the window is whole in one pass; the number
+of passes of the others follows from their size and from what their vectors share,
+and rounds go on until one adds no link.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.registry import register
 from cohortspark.llm.tables import components, numbered, settled, table
+from cohortspark.operators.skew import SkewPolicy, attach, balanced_join
 
 COSINE = 0.93
 PASSES = 12              # in a round; a label's rounds go on until one adds no link
 WINDOW = 512             # neighbours that follow a vector in a pass
 RECALL = 0.999           # of the pairs at the cosine that a label's passes find before a round may be the last
-PAIRED = 4_096           # positions of a tile where all pairs are compared
 BLOCK = 2_048            # positions that one task compares
 TILE = 2_048             # vectors of one component that meet in one task
 SEED = 11
+POLICY = SkewPolicy(task_rows=100_000, broadcast_rows=0)
 
 
 def usable(embedding: Column) -> Column:
@@ -105,43 +106,6 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], held: int =
     return reduced()
 
 
-def pair_links(nodes: DataFrame, *, cosine: float, block: int) -> DataFrame:
-    """Links (a, b) that span all linked pairs of nodes.
-
-    Nodes are ordered by label and cut into blocks by position, so small labels
-    share a block; every two blocks that one label reaches meet in a task.
-    """
-    def comparing(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        labels, reps = group.column("label").to_numpy(), group.column("rep").to_numpy()
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        own = group.column("rank").to_numpy() // block == x
-
-        def pairs():
-            for at, v in matrices(group.column("embedding").combine_chunks()):
-                v = unit(v)
-                one = np.flatnonzero(own[at])
-                two = one if x == y else np.flatnonzero(~own[at])
-                others = v[two].T
-                for k in range(0, len(one), 256):
-                    rows = one[k:k + 256]
-                    good = v[rows] @ others >= cosine
-                    i, j = np.nonzero(good & (labels[at[rows], None] == labels[None, at[two]]))
-                    yield at[rows[i]], at[two[j]]
-
-        a, b = spanning(len(reps), pairs())
-        return pa.table({"a": pa.array(reps[a]), "b": pa.array(reps[b])})
-
-    own = F.floor(F.col("rank") / block).cast("long")
-    placed = numbered(nodes.select("label", "dims", "rep", "embedding"), [F.col(c) for c in ("label", "dims", "rep")])
-    placed = placed.withColumn("block", own)
-    reach = placed.groupBy("label", "dims").agg(F.min("block").alias("first"), F.max("block").alias("last"))
-    reach = reach.withColumn("block", F.explode(F.sequence("first", "last")))  # so that no key has more than a block
-    rows = placed.join(reach, ["label", "dims", "block"]).withColumn("other", F.explode(F.sequence("first", "last")))
-    return rows.select("label", "rep", "embedding", "rank", F.least("block", "other").alias("x"),
-                       F.greatest("block", "other").alias("y")).groupBy("x", "y").applyInArrow(comparing, "a long, b long")
-
-
 def passes_for(n: Column, shared: Column, *, cosine: float, window: int, recall: float = RECALL) -> Column:
     """Passes that find ``recall`` of the pairs at the cosine among ``n`` vectors of mean cosine ``shared``.
 
@@ -152,7 +116,7 @@ def passes_for(n: Column, shared: Column, *, cosine: float, window: int, recall:
     rest = F.greatest((cosine - shared) / F.greatest(1 - shared, F.lit(1e-9)), F.lit(0.0))
     same = 1 - F.acos(F.least(rest, F.lit(1.0))) / math.pi
     found = F.pow(same, F.log2(n / F.lit(float(window))))
-    return F.when((n <= window) | (found >= recall), F.lit(1)).otherwise(
+    return F.when((n <= window + 1) | (found >= recall), F.lit(1)).otherwise(
         F.ceil(F.lit(math.log(1 - recall)) / F.log(1 - found))).cast("long")
 
 
@@ -181,17 +145,26 @@ def centres(nodes: DataFrame) -> DataFrame:
 
 
 def pass_links(nodes: DataFrame, *, cosine: float, first: int, passes: int, window: int, block: int, seed: int) -> DataFrame:
-    """Links (label, dims, a, b) that span what the windows of the passes from ``first`` on link."""
+    """Links (label, dims, a, b) that span what the windows of the passes from ``first`` on link.
+
+    A node takes part in the passes up to its ``until``; a NULL ``centre`` stands for the origin.
+    """
     def projecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in matrices(batch.column("embedding")):
-                rows = batch.select(["label", "rep", "centre"]).take(pa.array(at))
-                (_, centre), = matrices(rows.column("centre"))  # as many dimensions as the vectors
-                x = unit(x) - centre
-                for p in range(first, first + passes):
+                rows = batch.select(["label", "rep", "until", "centre"]).take(pa.array(at))
+                centred = np.flatnonzero(rows.column("centre").is_valid().to_numpy(zero_copy_only=False))
+                x = unit(x)
+                if len(centred):
+                    (_, centre), = matrices(rows.column("centre").take(pa.array(centred)))  # as many dimensions as the vectors
+                    x[centred] -= centre
+                until = rows.column("until").to_numpy()
+                for p in range(first, min(first + passes, int(until.max()))):
+                    own = np.flatnonzero(until > p)
+                    mine = rows.take(pa.array(own))
                     yield pa.RecordBatch.from_pydict({
-                        "pass": pa.array(np.full(len(at), p, np.int32)), "dims": pa.array(np.full(len(at), x.shape[1], np.int32)),
-                        "label": rows.column("label"), "key": pa.array(signs(x, p, seed)), "rep": rows.column("rep")})
+                        "pass": pa.array(np.full(len(own), p, np.int32)), "dims": pa.array(np.full(len(own), x.shape[1], np.int32)),
+                        "label": mine.column("label"), "key": pa.array(signs(x[own], p, seed)), "rep": mine.column("rep")})
 
     def comparing(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank").combine_chunks()
@@ -199,16 +172,17 @@ def pass_links(nodes: DataFrame, *, cosine: float, first: int, passes: int, wind
         rank, turn = group.column("rank").to_numpy(), group.column("pass").to_numpy()
         dims = group.column("dims").to_numpy()
         own = rank // block == rank[0] // block
+        place = np.cumsum(np.append(True, (labels[1:] != labels[:-1]) | (turn[1:] != turn[:-1])))  # label and pass
 
         def pairs():
             for at, x in matrices(group.column("embedding").combine_chunks()):
-                for i, j in window_links(labels[at] * 64 + turn[at] % 64, x, own[at], window, cosine):
+                for i, j in window_links(place[at], x, own[at], window, cosine):
                     yield at[i], at[j]
 
         a, b = spanning(len(reps), pairs())
         return pa.table({"label": pa.array(labels[a]), "dims": pa.array(dims[a]), "a": pa.array(reps[a]), "b": pa.array(reps[b])})
 
-    keys = nodes.select("label", "rep", "embedding", "centre").mapInArrow(
+    keys = nodes.select("label", "rep", "embedding", "until", "centre").mapInArrow(
         projecting, "pass int, dims int, label long, key long, rep long")
     placed = numbered(keys, [F.col(c) for c in ("pass", "dims", "label", "key", "rep")])
     own = F.floor(F.col("rank") / block).cast("long")
@@ -219,38 +193,44 @@ def pass_links(nodes: DataFrame, *, cosine: float, first: int, passes: int, wind
     return rows.groupBy("block").applyInArrow(comparing, "label long, dims int, a long, b long")
 
 
-def linked(nodes: DataFrame, *, cosine: float, passes: int, window: int, block: int, paired: int, seed: int) -> DataFrame:
-    """(node, component) of all nodes with a link.
+def linked(nodes: DataFrame, *, cosine: float, passes: int, window: int, block: int, seed: int) -> DataFrame:
+    """(node, component) of all nodes with a link, all found by passes.
 
-    A label's vectors are compared with each other where its tiles of
-    ``paired`` are no more than the passes it needs (``passes_for``), so
-    nothing is missed there. The others get rounds of passes, at least as many
-    as they need, until a round adds no link between two components.
+    A label of at most ``window`` + 1 vectors lies whole in every window of its one pass, so nothing is
+    missed there. The others get their passes (``passes_for``) around their own centre and further
+    rounds until a round adds no link between two components.
     """
     nodes = nodes.withColumn("dims", F.size("embedding"))
     group = ["label", "dims"]
-    tiles = F.ceil(F.col("size") / paired)
-    need = lambda shared: passes_for(F.col("size"), shared, cosine=cosine, window=window)
-    sizes = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    large = settled(sizes.where(tiles > need(F.lit(0.0))).select(*group))
-    if large.isEmpty():
-        return components(pair_links(nodes, cosine=cosine, block=paired))
-    active = settled(centres(nodes.join(large, group, "left_semi")).withColumn("need", need(F.col("shared"))).where(
-        tiles > F.col("need")))
-    rest = nodes.join(active, group, "left_anti")
-    found, done = components(pair_links(rest, cosine=cosine, block=paired)), 0
+    sizes = settled(nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("size")))
+    small = sizes.where(F.col("size") <= window + 1).select(
+        *group, F.lit(1).cast("long").alias("need"), F.lit(None).cast("array<double>").alias("centre"))
+    large = sizes.where(F.col("size") > window + 1)
+    active = small
+    if not large.isEmpty():
+        need = passes_for(F.col("size"), F.col("shared"), cosine=cosine, window=window)
+        active = small.union(centres(nodes.join(large.select(*group), group, "left_semi")).select(
+            *group, F.greatest(need, F.lit(2)).alias("need"), "centre"))
+    active = settled(active)
+    found, done = None, 0
     while not active.isEmpty():
-        links = settled(pass_links(nodes.join(active.select(*group, "centre"), group), cosine=cosine, first=done,
-                                   passes=passes, window=window, block=block, seed=seed))
+        # a label that needs one pass has it in the first round, the others take part in all passes of a round
+        until = F.when(F.col("need") == 1, 1).otherwise(done + passes).cast("long")
+        rows = nodes.join(active.select(*group, "centre", until.alias("until")), group)
+        links = settled(pass_links(rows, cosine=cosine, first=done, passes=passes, window=window, block=block, seed=seed))
         done += passes
-        ends = [found.select(F.col("node").alias(e), F.col("component").alias("of_" + e)) for e in ("a", "b")]
-        new = settled(links.join(ends[0], "a", "left").join(ends[1], "b", "left").where(
-            F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*group, "a", "b"))
-        if not new.isEmpty():
-            found = components(found.toDF("a", "b").union(new.select("a", "b")))
+        if found is None:
+            new, found = links, components(links.select("a", "b"))
+        else:
+            ends = [found.select(F.col("node").alias(e), F.col("component").alias("of_" + e)) for e in ("a", "b")]
+            new = settled(links.join(ends[0], "a", "left").join(ends[1], "b", "left").where(
+                F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*group, "a", "b"))
+            if not new.isEmpty():
+                found = components(found.toDF("a", "b").union(new.select("a", "b")))
         grown = new.select(*group, F.lit(True).alias("grown")).distinct()
-        active = settled(active.join(grown, group, "left").where((F.col("need") > done) | F.col("grown")).drop("grown"))
-    return found
+        active = settled(active.where("need > 1").join(grown, group, "left").where(
+            (F.col("need") > done) | F.col("grown")).drop("grown"))
+    return nodes.sparkSession.createDataFrame([], "node long, component long") if found is None else found
 
 
 def count_links(nodes: DataFrame, found: DataFrame, cosine: float, tile: int) -> DataFrame:
@@ -297,16 +277,15 @@ def count_links(nodes: DataFrame, found: DataFrame, cosine: float, tile: int) ->
 
 
 def judge(vectors: DataFrame, *, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW,
-          block: int = BLOCK, paired: int = PAIRED, tile: int = TILE, seed: int = SEED) -> DataFrame:
+          block: int = BLOCK, tile: int = TILE, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Two vectors link when their labels are equal, their dimensions too, and
     their cosine in double precision reaches ``cosine``. The passes find the
     components; inside a component every pair is then compared once, so
     ``n_links`` misses no link of a component however many neighbours a
-    vector has, and no link below the cosine counts. Up to some 100,000 vectors
-    a label has all its pairs compared (``linked``), far more if they share a
-    topic; in a larger one a pass finds a pair unless its signs part the two
+    vector has, and no link below the cosine counts. A label of at most ``window`` + 1
+    vectors is whole in one pass; in a larger one a pass finds a pair unless its signs part the two
     further than the window, passes are independent and go on until they add nothing.
 
     Vectors that are NULL, zero, hold a NULL or non-finite entry, or have a
@@ -322,14 +301,15 @@ def judge(vectors: DataFrame, *, cosine: float = COSINE, passes: int = PASSES, w
     good = good.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*")
     good = settled(good)
     nodes = settled(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    found = linked(nodes, cosine=cosine, passes=passes, window=window, block=block, paired=paired, seed=seed)
+    found = linked(nodes, cosine=cosine, passes=passes, window=window, block=block, seed=seed)
     counts = count_links(nodes, found, cosine, tile).withColumnRenamed("rep", "r")
     nodes_known = nodes.join(found, F.col("rep") == F.col("node"), "left").join(
         counts, F.col("rep") == F.col("r"), "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
         F.coalesce("component", "rep").alias("component"))
-    owned = good.join(nodes_known, ["label", "embedding"]).select(F.col("vec_id").alias("id"), "links", "component")
-    return vectors.select(F.col("vec_id").cast("long")).join(owned, F.col("vec_id") == F.col("id"), "left").select(
+    owned = balanced_join(nodes_known, good, ["label", "embedding"], F.lit(True), ["vec_id"], policy=POLICY).select(
+        "vec_id", "links", "component")
+    return attach(vectors.select(F.col("vec_id").cast("long")), owned, ["vec_id"], policy=POLICY).select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"))
