@@ -14,12 +14,14 @@ from pyspark.sql import Window
 
 from cohortspark.llm.registry import register
 from cohortspark.llm.tables import WORD, numbered, settled, table
+from cohortspark.operators.skew import SkewPolicy, attach
 
 UNIT_BITS = 30          # expected copies are whole multiples of 2**-30, so that sums are exact
 WEIGHTS = (5, 2, 1)     # of the sources in order, repeating
 SHARE = 1.5             # of all sizes
 MOST = 2.0              # times its source's size
 SEED = 20
+POLICY = SkewPolicy()
 
 
 def word_count(text: Column) -> Column:
@@ -56,14 +58,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return rows.select("source", "source_size", ended.alias("target"))
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, seed: int = SEED, group_rows: int = 200_000,
+def mix(docs: DataFrame, *, size: Column | None = None, seed: int = SEED, group_rows: int = 2_000,
         weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``rec`` (the whole row), size, source_size, target and copies, one row per row of ``docs``.
 
     Documents of one source are ordered by size class, then by a seeded hash
-    into groups of about ``group_rows`` rows, then by size: a systematic sample
+    into groups of about ``group_rows`` rows (the classes are counted first), then by size: a systematic sample
     along sizes keeps the source's words near its target, and no window holds
-    more than one group, however large a source is. Groups' sums are
+    more than one group, however large a source or class is. Groups' sums are
     prefix-summed on their own small table. Sums are whole numbers of
     ``2**-UNIT_BITS`` copies and only their remainder is carried, so nothing
     is rounded and nothing overflows: no document exceeds ``most`` copies
@@ -71,16 +73,18 @@ def mix(docs: DataFrame, *, size: Column | None = None, seed: int = SEED, group_
 
     A NULL text has size 0, a NULL source is a source of its own (the last);
     a source without words has target 0 and expects no copy. Repeated rows
-    are rows of their own; equal order keys belong to equal (id, size) pairs. An empty table
+    are rows of their own; equal order keys belong to equal rows. An empty table
     gives no row. Other columns stay inside ``rec``.
     """
-    sized = docs.select(
+    measured = docs.select(
         F.struct("*").alias("rec"), F.col("source").alias("k"), F.col("doc_id").alias("d"),
         (word_count(F.col("text")) if size is None else size).alias("size"))
-    narrow = settled(sized.select("k", "d", "size"))
+    sized = measured.withColumns({  # the whole row marks it, so rows without id spread, too
+        "mark": F.xxhash64(F.lit(seed), F.col("d"), F.col("size"), F.col("rec")),
+        "band": F.floor(F.log2(F.col("size") + 1) * 8).cast("int")})
+    narrow = settled(sized.select("k", "size", "mark", "band"))
     totals = narrow.groupBy("k").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rows = totals.agg(F.sum("n")).first()[0] or 0
-    spread = max(1, rows // group_rows)
+    classes = narrow.groupBy("k", "band").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("spread"))
     unit = 1 << UNIT_BITS
     sources = targets(totals.select(F.col("k").alias("source"), "source_size"), weights, share, most)
     sources = sources.select(
@@ -88,20 +92,20 @@ def mix(docs: DataFrame, *, size: Column | None = None, seed: int = SEED, group_
         F.coalesce(F.round(F.try_divide("target", "source_size") * unit), F.lit(0)).cast("long").alias("step"),
         F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(unit)).alias("start"))
 
-    mark = F.xxhash64(F.lit(seed), F.col("d"), F.col("size"))
-    keys = {"band": F.floor(F.log2(F.col("size") + 1) * 8).cast("int"),
-            "slot": F.pmod(mark, F.lit(spread)).cast("int")}
-    groups = narrow.withColumns(keys).groupBy("k", "band", "slot").agg(F.count(F.lit(1)).alias("n"))
+    def slotted(rows):
+        return attach(rows, classes, ["k", "band"], policy=POLICY).withColumn(
+            "slot", F.pmod("mark", F.col("spread")).cast("int")).drop("spread")
+
+    groups = slotted(narrow).groupBy("k", "band", "slot").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.join(sources, F.col("k").eqNullSafe(F.col("s")))
     before = Window.partitionBy("k").orderBy("band", "slot").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.pmod(F.col("n") * F.col("step"), F.lit(unit))
     groups = groups.select(
-        F.col("k").alias("gk"), F.col("band").alias("gb"), F.col("slot").alias("gs"), "source_size", "target", "step",
+        "k", "band", "slot", "source_size", "target", "step",
         (F.col("start") + F.coalesce(F.sum(rest).over(before), F.lit(0))).alias("from"))
 
-    placed = sized.withColumns(keys).withColumn("mark", mark).join(
-        groups, F.col("k").eqNullSafe(F.col("gk")) & (F.col("band") == F.col("gb")) & (F.col("slot") == F.col("gs")))
-    line = Window.partitionBy("gk", "gb", "gs").orderBy("size", "mark", "d")
+    placed = attach(slotted(sized), groups, ["k", "band", "slot"], policy=POLICY)
+    line = Window.partitionBy("k", "band", "slot").orderBy("size", "mark", "d")
     upto = F.pmod(F.col("from"), F.lit(unit)) + F.col("step") * F.row_number().over(line)
     return placed.withColumn("upto", upto).select(
         "rec", "size", "source_size", "target",
@@ -117,7 +121,8 @@ def repeated(mixed: DataFrame) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     # the texts are read once, for their word counts; the mix reads narrow rows
-    narrow = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
+    narrow = settled(docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("mark")))
     return mix(narrow, size=F.col("words")).select(
         F.col("rec.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"))
