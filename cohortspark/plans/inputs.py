@@ -75,8 +75,12 @@ def first_operations(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 def labs(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as measurements of their order's customer."""
-    lines = table(spark, sf, "lineitem")
     owners = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("subject_id"))
+    return measured(table(spark, sf, "lineitem"), owners)
+
+
+def measured(lines: DataFrame, owners: DataFrame) -> DataFrame:
+    """Line items with the subject of their order."""
     return lines.join(owners, lines.l_orderkey == owners.o_orderkey).select(
         "subject_id", F.lower(F.concat("l_returnflag", "l_linestatus")).alias("item_name"),
         minutes(F.col("l_shipdate")).alias("chart_time"), F.col("l_quantity").alias("value"))

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixed_values as fv
 from cohortspark.functions import derive
-from cohortspark.operators import lookups, outcomes, profile
+from cohortspark.operators import lookups, outcomes, profile, sieve
 from cohortspark.operators.clean import null_out_of_range
 from cohortspark.operators.skew import SkewPolicy
 from cohortspark.plans.inputs import (
     FIRST, ITEMS, LABS, LOOK, MODEL, SEQ, WARD, WIDE, event_rows, first_operations, index_events,
-    lab_rows, labs, model_table, operations, preop_rows, ward,
+    lab_rows, labs, measured, model_table, operations, preop_rows, ward,
 )
 from cohortspark.plans.registry import register, rounded
-from cohortspark.session import cut
-from cohortspark.sources.tables import table
+from cohortspark.session import cut, shared_path
+from cohortspark.sources.tables import Snapshots, table
 
 # A policy that treats ordinary customers as hot, so that the salted join runs.
 SMALL_TASKS = SkewPolicy(task_rows=60, hot_keys=1_000_000)
@@ -38,6 +38,42 @@ def lookback_measurements_balanced(spark, sf):
     ).select(LOOK_COLUMNS)
 
 
+def written_labs(spark, sf):
+    """The measurements as a snapshot by subject and time, written once for all joins on it."""
+    store = Snapshots(shared_path(spark, "labs"), shared_path(spark, "shareable"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.write_bucketed(labs(spark, sf), "labs", 1, key="subject_id", time="chart_time", buckets=buckets)
+    return store.read_bucketed(spark, "labs", 1)
+
+
+@register("lookback_from_snapshot", LOOK_SQL)
+def lookback_from_snapshot(spark, sf):
+    """The facts are read in the layout of the join and not shuffled."""
+    cohort = first_operations(spark, sf).select("subject_id", "op_id", "start_time")
+    return lookups.lookback(
+        cohort, written_labs(spark, sf), "subject_id", anchor="start_time", time="chart_time", item="item_name",
+        items=ITEMS, row_bound=lab_rows(spark, sf)).select(LOOK_COLUMNS)
+
+
+def sieved_labs(spark, sf, cohort):
+    """Measurements of the cohort's subjects: line items of other orders go before they are shuffled."""
+    owners = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("subject_id"))
+    owners = cut(owners.join(cohort.select("subject_id"), "subject_id", "left_semi"))
+    lines = sieve.sieve(table(spark, sf, "lineitem"), "l_orderkey", sieve.key_words(owners, "o_orderkey"))
+    return measured(lines, owners)
+
+
+@register("lookback_selected_subjects", f"""WITH {LOOK} SELECT subject_id, op_id, item_name, chart_time, value FROM look
+JOIN (SELECT subject_id AS s FROM first_ops WHERE asa = 1 AND price > 200000) ON s = subject_id""")
+def lookback_selected_subjects(spark, sf):
+    """A small cohort; a filter of its orders' keys runs in the scan of the line items."""
+    cohort = cut(first_operations(spark, sf, "asa", "price").where("asa = 1 AND price > 200000").select(
+        "subject_id", "op_id", "start_time"))
+    return lookups.lookback(
+        cohort, sieved_labs(spark, sf, cohort), "subject_id", anchor="start_time", time="chart_time",
+        item="item_name", items=ITEMS, row_bound=lab_rows(spark, sf)).select(LOOK_COLUMNS)
+
+
 @register("lookback_all_operations", f"""WITH {SEQ}, {LABS}
 SELECT f.subject_id, f.op_id, l.item_name, l.chart_time, l.value
 FROM seq f JOIN labs l ON f.subject_id = l.subject_id
