@@ -10,7 +10,7 @@ from cohortspark.plans import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FITTED = {n for n in QUERIES if n.endswith("_cv") or n in (
-    "feature_ladder", "feature_ladder_trees", "out_of_fold_predictions", "enet_full_penalty", "enet_coefficients",
+    "feature_ladder", "feature_ladder_trees", "study_ladder", "out_of_fold_predictions", "enet_full_penalty", "enet_coefficients",
     "coefficients_several")}
 
 
