@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.plans import QUERIES
 
@@ -57,3 +58,27 @@ def test_one_shuffle_for_numbering_and_gaps(spark, capsys):
 def test_stacked_models_are_one_scan(spark, capsys, name):
     tree = plan(spark, capsys, name).split("\n\n")[0]
     assert tree.count("Scan parquet") == 1
+
+
+def test_large_quantiles_read_their_rows_twice(spark, monkeypatch, tmp_path):
+    """All quantiles and aggregates of all groups from two reads of the rows."""
+    from cohortspark.operators import quantiles
+    from cohortspark.operators.skew import SkewPolicy
+    path = str(tmp_path / "source-of-values")
+    spark.range(20_000).selectExpr("id % 3 AS g", "CASE WHEN id % 50 > 0 THEN (id * 7919) % 10007 END AS v", "0 AS only_here").write.parquet(path)
+    frame = spark.read.parquet(path)
+    plans = []
+    written = quantiles.cut
+    monkeypatch.setattr(quantiles, "cut", lambda df, *rest: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or written(df, *rest))
+    wanted = {"low": 0.01, "mid": 0.5, "high": 0.9}
+    policy = SkewPolicy(task_rows=100, accuracy=1_000)
+    for groups in ([], ["g"]):
+        plans.clear()
+        out = quantiles.grouped_summary(frame, groups, "v", wanted, {"n": F.count("v")}, reuse=False, policy=policy)
+        exact = frame.groupBy(*groups).agg(F.percentile("v", F.array(*[F.lit(p) for p in wanted.values()])).alias("q"))
+        key = lambda r: r["g"] if groups else 0
+        found = {key(r): [r[n] for n in wanted] for r in out.collect()}
+        assert found == {key(r): r["q"] for r in exact.collect()}
+        texts = [*plans, out._jdf.queryExecution().optimizedPlan().toString()]
+        assert sum(line.count("only_here#") for t in texts for line in t.splitlines() if "Relation [" in line) == 2
