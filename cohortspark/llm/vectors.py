@@ -309,7 +309,8 @@ def judge(vectors: DataFrame, *, cosine: float = COSINE, passes: int = PASSES, w
         F.coalesce("component", "rep").alias("component"))
     owned = balanced_join(nodes_known, good, ["label", "embedding"], F.lit(True), ["vec_id"], policy=POLICY).select(
         "vec_id", "links", "component")
-    return attach(vectors.select(F.col("vec_id").cast("long")), owned, ["vec_id"], policy=POLICY).select(
+    rows = vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("at"))  # spreads a hot id
+    return attach(rows, owned, ["vec_id"], policy=POLICY).select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"))
