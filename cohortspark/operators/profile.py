@@ -17,6 +17,7 @@ from cohortspark.session import cut
 
 QUARTILES = {"q25": 0.25, "median": 0.50, "q75": 0.75}
 FENCE = 1.5
+ROUNDING = 1e-12   # of the quartiles' size: how far a value on a fence may seem to lie beyond it
 
 
 def basic(value: str) -> dict[str, Column]:
@@ -164,10 +165,15 @@ def z_scores(df: DataFrame, groups: list[str], value: str, *, row_bound=None,
 
 def boxplot(df: DataFrame, groups: list[str], value: str, *, row_bound=None,
             policy: SkewPolicy = POLICY) -> DataFrame:
-    """Quartiles, whiskers, outliers and values beyond +-3 per group."""
+    """Quartiles, whiskers, outliers and values beyond +-3 per group.
+
+    A value on a fence is inside, also when rounding errors of a computed ``value``, such as a
+    z-score, put it ``ROUNDING`` of the quartiles' size beyond.
+    """
     limits = fences(df, groups, value, row_bound=row_bound, policy=policy)
     v = F.col(value)
-    inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
+    slack = F.lit(ROUNDING) * (F.abs("q25") + F.abs("q75"))
+    inside = (v >= F.col("lower_fence") - slack) & (v <= F.col("upper_fence") + slack)
     kept = ["n", "q25", "median", "q75"]
     return attach(df, limits, groups, row_bound=row_bound, policy=policy).groupBy(*groups, *kept).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
