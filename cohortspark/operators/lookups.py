@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixed_values as fv
 from cohortspark.functions.scalar import strict_max
-from cohortspark.operators.skew import POLICY, SkewPolicy, balanced_join, ordered_scan
+from cohortspark.operators.skew import POLICY, SkewPolicy, balanced_join, ordered_scan, rows_of
+from cohortspark.session import cut
 
 _LOWER = {"both": True, "left": True, "right": False, "neither": False}
 _UPPER = {"both": True, "left": False, "right": True, "neither": False}
@@ -26,7 +27,7 @@ def measurements_in_window(
     index: DataFrame, facts: DataFrame, key: str, *,
     anchor: str, time: str, item: str | None = None, items: list[str] | None = None,
     value: str = "value", start_days: float, end_days: float, closed: str,
-    many_anchors: bool = False, row_bound: int | None = None, policy: SkewPolicy = POLICY,
+    many_anchors: bool = False, reuse: bool = False, row_bound: int | None = None, policy: SkewPolicy = POLICY,
 ) -> DataFrame:
     """Measurements of each index event that fall into its window.
 
@@ -34,10 +35,14 @@ def measurements_in_window(
     hot subjects of ``facts`` are spread over several tasks. ``index`` has one
     row per subject, as in a cohort of first events; with ``many_anchors`` it
     may have more, and time is cut into steps as long as the window, so a
-    measurement only meets anchors of its own and the neighbouring step.
+    measurement only meets anchors of its own and the neighbouring step. ``reuse`` writes large ``facts``
+    once, as they are read twice; for facts that come from a join.
     """
     if items is not None:
         facts = facts.filter(F.col(item).isin(items))
+    if reuse:
+        row_bound = rows_of(facts, row_bound)
+        facts = cut(facts) if row_bound > policy.task_rows else facts
     spread = [c for c in (time, item, value) if c is not None]
     condition = in_window(F.col(time), F.col(anchor), start_days, end_days, closed)
     if not many_anchors:

@@ -96,7 +96,7 @@ def preop_rows(spark: SparkSession, sf: str, cohort: DataFrame | None = None) ->
     return lookback(
         cohort.select("subject_id", "op_id", "start_time"), labs(spark, sf), "subject_id",
         anchor="start_time", time="chart_time", item="item_name", items=ITEMS,
-        row_bound=lab_rows(spark, sf))
+        reuse=True, row_bound=lab_rows(spark, sf))
 
 
 def model_table(spark: SparkSession, sf: str) -> DataFrame:

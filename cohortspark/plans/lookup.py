@@ -83,7 +83,7 @@ def lookback_all_operations(spark, sf):
     every = operations(spark, sf).select("subject_id", "op_id", "start_time")
     return lookups.lookback(
         every, labs(spark, sf), "subject_id", anchor="start_time", time="chart_time", item="item_name",
-        items=ITEMS, many_anchors=True, row_bound=lab_rows(spark, sf)).select(LOOK_COLUMNS)
+        items=ITEMS, many_anchors=True, reuse=True, row_bound=lab_rows(spark, sf)).select(LOOK_COLUMNS)
 
 
 ASOF_SQL = f"""WITH {SEQ}, {LABS}, o AS (SELECT DISTINCT subject_id, op_id, start_time FROM seq), m AS (
