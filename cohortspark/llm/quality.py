@@ -10,7 +10,7 @@ on rows kept apart, and fixed thresholds decide.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,22 +143,37 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def platt(raw: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the calibrated probability, with Platt's smoothed targets."""
-    positive, negative = good.sum(), (~good).sum()
-    goal = np.where(good, (positive + 1) / (positive + 2), 1 / (negative + 2))
+def platt_goals(positive: int, negative: int) -> tuple[float, float]:
+    """Platt's smoothed targets of both labels."""
+    return (positive + 1) / (positive + 2), 1 / (negative + 2)
+
+
+def platt_sums(raw: np.ndarray, goal: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Information matrix and gradient."""
     x = np.stack([raw, np.ones_like(raw)], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+    return x.T @ (x * (p * (1 - p))[:, None]), x.T @ (goal - p)
+
+
+def platt_steps(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+    """Slope and shift by Newton steps; ``sums`` gives information matrix and gradient over all scores."""
     beta = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + 1e-4 * np.eye(2)
-        step = np.linalg.solve(curve, x.T @ (goal - p) - 1e-4 * beta)
+        curve, gradient = sums(beta)
+        step = np.linalg.solve(curve + 1e-4 * np.eye(2), gradient - 1e-4 * beta)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return float(beta[0]), float(beta[1])
 
 
+def platt(raw: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the calibrated probability, with Platt's smoothed targets."""
+    high, low = platt_goals(good.sum(), (~good).sum())
+    goal = np.where(good, high, low)
+    return platt_steps(lambda beta: platt_sums(raw, goal, beta))
+
+
 def fit(texts: pa.Array, good: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = SEED) -> Model | None:
     """Adaptive-gradient logistic regression; a fifth of the rows calibrates it. None without both classes."""
     rng = np.random.default_rng(seed)
